@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gossamer.llm import endpoint_copies, repeated_lines
+from gossamer.llm import endpoint_copies, packing, repeated_lines, tokens
 from gossamer.sources.tables import table
 
 QUERIES = {
@@ -10,6 +10,8 @@ QUERIES = {
     "p1_pages": lambda s, d: repeated_lines.pages_without_repeats(table(s, d, "results")),
     "p3_found": lambda s, d: endpoint_copies.found(table(s, d, "results")),
     "p3_collapsed": lambda s, d: endpoint_copies.collapsed(table(s, d, "results")),
+    "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
+    "p9_pack": lambda s, d: packing.pack(table(s, d, "documents")),
 }
 
 _ENDPOINTS = r"""
