@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gossamer.llm import endpoint_copies, near_copies, packing, repeated_lines, tokens
+from gossamer.llm import endpoint_copies, near_copies, packing, repeated_lines, residue, tokens
 from gossamer.sources.tables import table
 
 QUERIES = {
@@ -10,6 +10,8 @@ QUERIES = {
     "p1_pages": lambda s, d: repeated_lines.pages_without_repeats(table(s, d, "results")),
     "p3_found": lambda s, d: endpoint_copies.found(table(s, d, "results")),
     "p3_collapsed": lambda s, d: endpoint_copies.collapsed(table(s, d, "results")),
+    "p4_found": lambda s, d: residue.found(table(s, d, "responses")),
+    "p4_scores": lambda s, d: residue.judged(table(s, d, "responses")),
     "p7_found": lambda s, d: near_copies.found(table(s, d, "responses")),
     "p7_groups": lambda s, d: near_copies.near_groups(table(s, d, "responses")),
     "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
