@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gossamer.llm import endpoint_copies, near_copies, packing, repeated_lines, residue, tokens
+from gossamer.llm import abuse, endpoint_copies, near_copies, packing, repeated_lines, residue, tokens
 from gossamer.sources.tables import table
 
 QUERIES = {
@@ -15,6 +15,9 @@ QUERIES = {
     "p7_found": lambda s, d: near_copies.found(table(s, d, "responses")),
     "p7_groups": lambda s, d: near_copies.near_groups(table(s, d, "responses")),
     "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
+    "p10_found": lambda s, d: abuse.found(table(s, d, "documents"), table(s, d, "abuse_examples")),
+    "p10_scores": lambda s, d: abuse.scores(table(s, d, "documents"), table(s, d, "abuse_examples")),
+    "p10_rates": lambda s, d: abuse.rates(table(s, d, "documents"), table(s, d, "abuse_examples")),
     "p9_pack": lambda s, d: packing.pack(table(s, d, "documents")),
 }
 
