@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gossamer.llm import abuse, endpoint_copies, near_copies, packing, repeated_lines, residue, tokens
+from gossamer.llm import abuse, endpoint_copies, main_content, near_copies, packing, repeated_lines, residue, tokens
 from gossamer.sources.tables import table
 
 QUERIES = {
     "p1_found": lambda s, d: repeated_lines.repeated_lines(table(s, d, "results")),
     "p1_pages": lambda s, d: repeated_lines.pages_without_repeats(table(s, d, "results")),
+    "p2_found": lambda s, d: main_content.found(table(s, d, "results")),
+    "p2_bodies": lambda s, d: main_content.main_bodies(table(s, d, "results")),
     "p3_found": lambda s, d: endpoint_copies.found(table(s, d, "results")),
     "p3_collapsed": lambda s, d: endpoint_copies.collapsed(table(s, d, "results")),
     "p4_found": lambda s, d: residue.found(table(s, d, "responses")),
