@@ -105,7 +105,7 @@ def has_response(df: DataFrame) -> Column:
 
 def capped(body: Column, size: int = 4 * 1024 * 1024) -> Column:
     """The first bytes of a body; a character cut in two goes."""
-    return F.when(F.octet_length(body) <= size, body).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(body, "utf-8"), 1, size), "utf-8"), "�$", ""))
+    return F.when(F.octet_length(body) <= size, body).otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(body, "utf-8"), 1, size).cast("string")), r"\x{fffd}+$", ""))
 
 
 PRIVATE = tuple("10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 127.0.0.0/8 169.254.0.0/16 0.0.0.0/8 100.64.0.0/10 ::1/128 fc00::/7 fe80::/10".split())
