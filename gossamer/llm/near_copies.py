@@ -2,19 +2,23 @@
 
 Each body becomes the set of its hashed word sequences.  Bodies with the same
 set are one class and only its smallest id goes on.  A class's signature holds
-the smallest hash under each of ``places`` permutations, taken over sequences that are not
-common in the corpus (their document frequencies are counted over all rows in a
-fixed-size, mergeable table of counters).  The Hamming distance of two signatures, the
-number of places that differ, is an integer metric whose mean is places x (1 - Jaccard).
+the smallest hash under each of ``PLACES`` permutations.  It is taken over the
+sequences up to a level of commonness that at least half of the text's own sequences
+keep, so neither stock phrases nor very large groups of copies spoil it; texts near
+the border of two levels get a signature on both.  Document frequencies are counted
+over all rows, in a fixed-size, mergeable table of counters.  The Hamming distance of two
+signatures, the number of places that differ, is an integer metric whose mean is
+places x (1 - Jaccard).
 
 Shards are the rows that agree in one band of the signature.  A shard's BK-tree keys
 children by their distance to the parent; each member is looked up before it is put
-in, along the edges within the radius only.  A shard with more members than fit one
-tree is cut into blocks, and every block is looked up in the tree of every block,
-one bounded task per pair of blocks; there the texts' sets travel along, the
-similarity is taken in the task and only a spanning set of links leaves it, so no
-group of any size is expanded into its pairs.  Links of the small shards are
-checked against the sets by a join.  Components of the links are the groups.
+in, along the edges within the radius only, and the pairs found are checked against the
+sets by a join.  A shard with more members than fit one tree is first linked to its
+smallest member, checked the same way.  Members that the links so far leave outside the
+shard's largest component are cut into blocks, and each block's tree is looked up by every
+block of the shard, one bounded task per pair of blocks; there the sets travel along and
+only spanning links leave the task.  So a group of any size costs as many
+links as it has members, and no link between components is lost.
 
 Defined results: null and short bodies are in no group; a response delivered twice
 counts once; ties go to the smaller id; an empty table gives no rows.
@@ -40,8 +44,10 @@ WORD = re.compile(r"[^\W_]+")
 SEQUENCE, LEAST_WORDS, SIMILARITY = 3, 60, 0.5
 #: Places of a signature, places of a band, bands that shard, and the BK-tree's radius.
 PLACES, BAND, BANDS, RADIUS = 64, 2, 28, 54
-#: Counters of document frequencies; sequences in more than this share of texts do not shard.
-COUNTERS, COMMON = 1 << 18, 0.002
+#: Counters of document frequencies; sequences in up to this share of texts are on level 0, in up to four times as many on 1, ...
+COUNTERS, COMMON, LEVELS = 1 << 18, 0.002, 16
+#: Share of a text's sequences its level keeps; below the second share the next level serves too, above the third the one before.
+KEEP, NEXT, BEFORE = 0.5, 0.65, 0.3
 #: Members of one tree.
 TREE = 256
 #: Words a task keeps the hashes of.
@@ -100,54 +106,81 @@ def _sets(sequence: int, least_words: int):
     return run
 
 
+_CHUNK = 4096
+
+
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(COUNTERS, np.int64)
     for b in batches:
         held += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) & np.uint32(COUNTERS - 1), minlength=COUNTERS)
-    for at in range(0, COUNTERS, 4096):  # in chunks, so the sums are spread over tasks
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held[at : at + 4096]], pa.list_(pa.int64()))], ["at", "n"])
+    at = np.arange(0, COUNTERS, _CHUNK, dtype=np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(held.reshape(-1, _CHUNK)), pa.list_(pa.int64()))], ["at", "n"])
+
 
+def _levels(bound: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, n in zip(b.column(0).to_pylist(), b.column(1)):
+                n = n.values.to_numpy()
+                sums[at] = sums[at] + n if at in sums else n
+        for at, n in sums.items():
+            level = np.ceil(np.log2(np.maximum(n, 1) / bound) / 2).clip(0, LEVELS - 1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["at", "level"])
 
-def common_slots(classes: DataFrame, texts: int, common: float = COMMON) -> np.ndarray:
-    """Bit per counter: whether its sequences are in more than this share of all texts (a fixed 256 KB)."""
-    bound = max(8, texts * common)
-    parts = classes.select("grams").mapInArrow(_counters, "at int, n array<bigint>")
-    cells = parts.select("at", F.posexplode("n").alias("i", "n")).groupBy((F.col("at") + F.col("i")).alias("slot")).agg(F.sum("n").alias("n"))
-    out = np.zeros(COUNTERS, bool)
-    out[[r.slot for r in cells.filter(F.col("n") > bound).select("slot").collect()]] = True  # at most COUNTERS rows
+    return run
+
+
+def commonness(classes: DataFrame, texts: int) -> np.ndarray:
+    """The level of each counter (a fixed 256 KB), from the document frequencies over all texts."""
+    bound = max(8, int(texts * COMMON))
+    parts = classes.select("grams").mapInArrow(_counters, "at int, n array<bigint>").repartition(COUNTERS // _CHUNK, "at")
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in parts.mapInArrow(_levels(bound), "at int, level binary").collect():  # COUNTERS bytes in all
+        out[r.at : r.at + _CHUNK] = np.frombuffer(r.level, np.uint8)
     return out
 
 
 _SEEDS = _mix(np.arange(1, PLACES + 1, dtype=np.uint64))
 
 
-def signature(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Smallest hashes under each permutation, over the uncommon sequences (over all, where none is left)."""
-    g = grams.view(np.uint32)
-    rare = g[~common[g & np.uint32(COUNTERS - 1)]]
-    g = (rare if len(rare) else g).astype(np.uint64)
-    x = (g[None, :] ^ _SEEDS[:, None]) * _M1
+def signature(grams: np.ndarray) -> np.ndarray:
+    """Smallest hash of the sequences under each permutation."""
+    x = (grams.astype(np.uint64)[None, :] ^ _SEEDS[:, None]) * _M1
     x ^= x >> np.uint64(29)
     x *= _M2
     return (x >> np.uint64(32)).min(axis=1).astype(np.uint32)
 
 
-def _signed(common):
+def signatures(grams: np.ndarray, levels: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(level, signature): one, or two where the text lies near the border of its level."""
+    g = grams.view(np.uint32)
+    own = levels[g & np.uint32(COUNTERS - 1)]
+    share = np.cumsum(np.bincount(own, minlength=LEVELS)) / len(g)
+    k = int(np.argmax(share >= KEEP))
+    use = [k]
+    if share[k] < NEXT and k + 1 < LEVELS:
+        use.append(k + 1)
+    if k and share[k - 1] >= BEFORE:
+        use.append(k - 1)
+    return [(x, signature(g[own <= x])) for x in use]
+
+
+def _signed(levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = np.arange(1, BANDS + 1, dtype=np.uint64)
         for b in batches:
             ids, sigs, keys = [], [], []
             for i, g in zip(b.column(0).to_pylist(), b.column(1)):
                 grams = g.values.to_numpy()
-                if not len(grams):
-                    continue
-                s = signature(grams, common.value)
-                ids.append(i)
-                sigs.append(_mix(s.astype(np.uint64)).astype(np.uint8).tobytes())
-                band = s[: BAND * BANDS].reshape(BANDS, BAND).astype(np.uint64)
-                k = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for c in range(BAND):
-                    k = _mix(k * _M1 + band[:, c])
-                keys.append(k.view(np.int64))
+                for level, s in signatures(grams, levels.value) if len(grams) else ():
+                    ids.append(i)
+                    sigs.append(_mix(s.astype(np.uint64)).astype(np.uint8).tobytes())
+                    band = s[: BAND * BANDS].reshape(BANDS, BAND).astype(np.uint64)
+                    k = ranks + np.uint64(level * 1000)
+                    for c in range(BAND):
+                        k = _mix(k * _M1 + band[:, c])
+                    keys.append(k.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sig", "bands"])
 
     return run
@@ -221,10 +254,10 @@ def _small_shards(radius: int):
 
 
 def _block_pairs(radius: int, similarity: float):
-    """Spanning links of each pair of blocks; rows (pair, side, id, sig, grams) come sorted by pair and side."""
+    """Spanning links of each pair of blocks; rows (pair, side, id, comp, sig, grams) come sorted by pair and side."""
 
     def links(rows: list, out: list) -> None:
-        tree, sets, up = BKTree(radius), {}, {}
+        tree, sets, comp, up = BKTree(radius), {}, {}, {}
 
         def find(x):
             while up.setdefault(x, x) != x:
@@ -232,73 +265,95 @@ def _block_pairs(radius: int, similarity: float):
                 x = up[x]
             return x
 
-        for side, i, s, g in rows:
-            sig = np.frombuffer(s, np.uint8)
-            mine = np.asarray(g, np.int32)
+        for side, i, c, s, g in rows:
+            sig, mine = np.frombuffer(s, np.uint8), np.asarray(g, np.int32)
             for _, j in sorted(tree.near(sig)):
-                if i == j or find(i) == find(j):
+                if i == j or find(c) == find(comp[j]):
                     continue
-                both = len(np.intersect1d(mine, sets[j], assume_unique=False))
+                both = len(np.intersect1d(mine, sets[j]))
                 if both >= similarity * (len(mine) + len(sets[j]) - both):
-                    up[find(i)] = find(j)
+                    up[find(c)] = find(comp[j])
                     out.append((min(i, j), max(i, j)))
-            sets[i] = mine
             if side == 0:
+                sets[i], comp[i] = mine, c
                 tree.add(sig, i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give() -> pa.RecordBatch:
+            out: list = []
+            links(rows, out)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
         pair, rows = None, []
         for b in batches:
-            for k, side, i, s, g in zip(*(c.to_pylist() for c in b.columns)):
+            for k, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if k != pair:
-                    out: list = []
-                    links(rows, out)
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b_ for _, b_ in out], pa.int64())], ["a", "b"])
+                    yield give()
                     pair, rows = k, []
-                rows.append((side, i, s, g))
-        out = []
-        links(rows, out)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b_ for _, b_ in out], pa.int64())], ["a", "b"])
+                rows.append(row)
+        yield give()
 
     return run
 
 
-def _hot_links(members: DataFrame, sizes: DataFrame, signed: DataFrame, sets: DataFrame, tree: int, radius: int, similarity: float) -> DataFrame:
-    """Verified links of shards that exceed one tree, in pairs of blocks."""
-    m = members.join(F.broadcast(sizes), "band").withColumn("blocks", F.ceil(F.col("n") / tree).cast("int"))
-    m = m.withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
-    # block x meets every block y >= x: as the tree's side of (x, y) and as the queries of (w, x) for w < x
-    tree_side = m.select("band", "id", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), F.col("block").alias("x"), F.lit(0).alias("side"))
-    query_side = m.filter("block > 0").select("band", "id", F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("x"), F.lit(1).alias("side"))
-    both = tree_side.unionByName(query_side).select("id", "side", F.concat_ws("-", "band", "x", "y").alias("pair"))
-    full = both.join(signed.select("id", "sig"), "id").join(sets.select("id", "grams"), "id")
-    laid = full.select("pair", "side", "id", "sig", "grams").repartition("pair").sortWithinPartitions("pair", "side", "id")
-    return laid.mapInArrow(_block_pairs(radius, similarity), "a bigint, b bigint")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are near enough; only the sets that are asked for are moved."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    need = stage(sets.join(maybe_broadcast(ids), "id", "left_semi").select("id", "grams").dropDuplicates(["id"]), "need")
+    ab = pairs.join(need.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(need.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return ab.filter(both >= similarity * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+
+
+def _between_components(hot: DataFrame, sets: DataFrame, links: DataFrame, tree: int, radius: int, similarity: float) -> DataFrame:
+    """Links of the hot shards (band, id, sig) between components of the links so far."""
+    comps = connected_components(links)
+    m = stage(hot.join(comps, "id", "left").select("band", "id", "sig", F.coalesce("component", "id").alias("comp")), "hot")
+    main = m.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    m = m.join(main, "band").withColumn("block", F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / tree)).cast("int"))
+    outside = m.filter(F.col("comp") != F.col("main"))
+    if outside.isEmpty():
+        return links.limit(0)
+    few = outside.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tree).cast("int").alias("x_blocks"))
+    m = stage(m.join(few, "band").withColumn("blocks", F.ceil(F.col("n") / tree).cast("int")), "outside")
+    x = F.pmod(F.xxhash64("band", "id"), F.col("x_blocks")).cast("int")
+    trees = m.filter(F.col("comp") != F.col("main")).select("band", "id", "comp", "sig", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.lit(0).alias("side"))
+    asks = m.select("band", "id", "comp", "sig", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"))
+    rows = trees.unionByName(asks).select(F.concat_ws("-", "band", "x", "y").alias("pair"), "side", "id", "comp", "sig")
+    full = rows.join(sets.select("id", "grams").dropDuplicates(["id"]), "id").select("pair", "side", "id", "comp", "sig", "grams")
+    return full.repartition("pair").sortWithinPartitions("pair", "side", "id").mapInArrow(_block_pairs(radius, similarity), "a bigint, b bigint")
 
 
 def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: int = SEQUENCE, least_words: int = LEAST_WORDS, radius: int = RADIUS, tree: int = TREE) -> tuple[DataFrame, DataFrame]:
-    """(verified links between class representatives, membership of each response in its class)."""
+    """(verified links between class representatives, membership of each response in its class).
+
+    The links of shards that fit one tree are complete; those of larger shards span their components.
+    """
     spark = responses.sparkSession
     sets = responses.select(F.col("response_id").cast("bigint"), "body").mapInArrow(_sets(sequence, least_words), "id bigint, sum string, grams array<int>")
     sets = stage(sets, "sets")
-    member = stage(sets.groupBy("sum").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").join(sets.select("sum", "id"), "sum").select("id", "rep").distinct(), "members")
+    first = sets.groupBy("sum").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("sum", "rep")
+    member = stage(sets.select("sum", "id").join(first, "sum").select("id", "rep").distinct(), "members")
     others = member.filter("id <> rep").select("id")
     reps = sets.select("id", "grams").join(maybe_broadcast(others), "id", "left_anti")
-    common = spark.sparkContext.broadcast(common_slots(reps, reps.count()))
-    signed = stage(reps.mapInArrow(_signed(common), "id bigint, sig binary, bands array<bigint>").dropDuplicates(["id"]), "signed")
-    bands = signed.select("id", F.explode("bands").alias("band"))
-    sizes = stage(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shards")
-    shared = bands.join(maybe_broadcast(sizes.filter(F.col("n") <= tree).select("band")), "band", "left_semi")
-    laid = shared.join(signed.select("id", "sig"), "id").select("band", "id", "sig").repartition("band").sortWithinPartitions("band", "id")
-    pairs = stage(laid.mapInArrow(_small_shards(radius), "a bigint, b bigint").distinct(), "pairs")
-    once = reps.dropDuplicates(["id"])
-    ab = pairs.join(once.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(once.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    links = ab.filter(both >= similarity * (F.size("ga") + F.size("gb") - both)).select("a", "b")
-    hot = sizes.filter(F.col("n") > tree)  # at most rows x bands / tree of them
-    if not hot.isEmpty():
-        links = links.unionByName(_hot_links(bands.join(F.broadcast(hot.select("band")), "band", "left_semi"), hot, signed, once, tree, radius, similarity))
-    return stage(links.distinct(), "links"), member
+    levels = spark.sparkContext.broadcast(commonness(reps, sets.count()))
+    signed = stage(reps.mapInArrow(_signed(levels), "id bigint, sig binary, bands array<bigint>"), "signed")
+    sizes = signed.select("id", F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    sizes = stage(sizes.filter("low < high").select("band", "n", "low"), "shards")
+    bands = signed.select("id", "sig", F.explode("bands").alias("band"))
+    shared = bands.join(maybe_broadcast(sizes.filter(F.col("n") <= tree).select("band")), "band", "left_semi").select("band", "id", "sig")
+    laid = shared.repartition("band").sortWithinPartitions("band", "id")
+    pairs = laid.mapInArrow(_small_shards(radius), "a bigint, b bigint")
+    big = sizes.filter(F.col("n") > tree)  # at most rows x bands / tree of them
+    hot = None
+    if not big.isEmpty():
+        hot = stage(bands.join(maybe_broadcast(big.select("band", "low")), "band").dropDuplicates(["band", "id"]), "hot")
+        pairs = pairs.unionByName(hot.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    links = stage(_verified(stage(pairs.distinct(), "pairs"), reps, similarity), "links")
+    if hot is not None:
+        more = _between_components(hot.select("band", "id", "sig"), reps, links, tree, radius, similarity)
+        links = stage(links.unionByName(more).distinct(), "links")
+    return links, member
 
 
 def near_groups(responses: DataFrame, **how) -> DataFrame:
