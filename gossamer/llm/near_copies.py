@@ -13,7 +13,7 @@ places x (1 - Jaccard).
 Shards are the rows that agree in one band of the signature.  A shard's BK-tree keys
 children by their distance to the parent; each member is looked up before it is put
 in, along the edges within the radius only, and the pairs found are checked against the
-sets by a join.  A shard with more members than fit one tree is first linked to its
+sets by a join.  A shard with more than a few members is first linked to its
 smallest member, checked the same way.  Members that the links so far leave outside the
 shard's largest component are cut into blocks, and each block's tree is looked up by every
 block of the shard, one bounded task per pair of blocks; there the sets travel along and
@@ -48,8 +48,8 @@ PLACES, BAND, BANDS, RADIUS = 64, 2, 28, 54
 COUNTERS, COMMON, LEVELS = 1 << 18, 0.002, 16
 #: Share of a text's sequences its level keeps; below the second share the next level serves too, above the third the one before.
 KEEP, NEXT, BEFORE = 0.5, 0.65, 0.3
-#: Members of one tree.
-TREE = 256
+#: Members of a shard whose pairs are all checked, and members of one tree of a larger shard.
+SMALL, TREE = 16, 256
 #: Words a task keeps the hashes of.
 KEPT = 500_000
 
@@ -324,10 +324,10 @@ def _between_components(hot: DataFrame, sets: DataFrame, links: DataFrame, tree:
     return full.repartition("pair").sortWithinPartitions("pair", "side", "id").mapInArrow(_block_pairs(radius, similarity), "a bigint, b bigint")
 
 
-def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: int = SEQUENCE, least_words: int = LEAST_WORDS, radius: int = RADIUS, tree: int = TREE) -> tuple[DataFrame, DataFrame]:
+def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: int = SEQUENCE, least_words: int = LEAST_WORDS, radius: int = RADIUS, small: int = SMALL, tree: int = TREE) -> tuple[DataFrame, DataFrame]:
     """(verified links between class representatives, membership of each response in its class).
 
-    The links of shards that fit one tree are complete; those of larger shards span their components.
+    The links of small shards are complete; those of larger shards span their components.
     """
     spark = responses.sparkSession
     sets = responses.select(F.col("response_id").cast("bigint"), "body").mapInArrow(_sets(sequence, least_words), "id bigint, sum string, grams array<int>")
@@ -341,10 +341,10 @@ def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: i
     sizes = signed.select("id", F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     sizes = stage(sizes.filter("low < high").select("band", "n", "low"), "shards")
     bands = signed.select("id", "sig", F.explode("bands").alias("band"))
-    shared = bands.join(maybe_broadcast(sizes.filter(F.col("n") <= tree).select("band")), "band", "left_semi").select("band", "id", "sig")
+    shared = bands.join(maybe_broadcast(sizes.filter(F.col("n") <= small).select("band")), "band", "left_semi").select("band", "id", "sig")
     laid = shared.repartition("band").sortWithinPartitions("band", "id")
     pairs = laid.mapInArrow(_small_shards(radius), "a bigint, b bigint")
-    big = sizes.filter(F.col("n") > tree)  # at most rows x bands / tree of them
+    big = sizes.filter(F.col("n") > small)  # at most rows x bands / small of them
     hot = None
     if not big.isEmpty():
         hot = stage(bands.join(maybe_broadcast(big.select("band", "low")), "band").dropDuplicates(["band", "id"]), "hot")

@@ -258,10 +258,10 @@ def brute_near(rows):
     return {(find(i), i) for i in ids if find(i) != i}
 
 
-@pytest.mark.parametrize("tree", [256, 8])
-def test_near_groups(spark, tree):
+@pytest.mark.parametrize("small,tree", [(16, 256), (2, 8)])
+def test_near_groups(spark, small, tree):
     rows = near_rows()
-    got = near_copies.near_groups(responses(spark, rows), tree=tree).collect()
+    got = near_copies.near_groups(responses(spark, rows), small=small, tree=tree).collect()
     assert {(r.group_id, r.response_id) for r in got if r.group_id != r.response_id} == brute_near(rows)
     assert all(r.links > 0 for r in got)
 
