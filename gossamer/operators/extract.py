@@ -178,3 +178,37 @@ def user_links(pages: DataFrame, extractor: Callable[[str, str], list[tuple]]) -
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["source", "url", "ref", "tag", "attribute"])
 
     return pages.select("url", "body").mapInArrow(run, "source string, url string, ref string, tag string, attribute string")
+
+
+def script_links(pages: DataFrame) -> DataFrame:
+    """(source, url, ref, tag, attribute): endpoints of script files and script elements by the call they stand in.
+
+    Files of well-known libraries are passed over.
+    """
+    from gossamer.functions.scripts import script_calls
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for url, kind, library, body in zip(*(c.to_pylist() for c in b.columns)):
+                if not url or not body:
+                    continue
+                if _script_file(url, kind):
+                    found = [] if library else [("js", e, t) for e, t in script_calls(body)]
+                else:
+                    found = [("script", e, t) for x in tokens(body) if x[0] == "raw" and x[1] == "script" for e, t in script_calls(x[2])]
+                rows += [(url, resolve(url, e), e, tag, "call-" + t) for tag, e, t in found]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["source", "url", "ref", "tag", "attribute"])
+
+    kind = tx.lower_keys(F.col("headers"))["content-type"]
+    path = F.regexp_replace("url", r"[?#].*$", "")
+    return pages.select("url", kind.alias("kind"), tx.is_common_library(path).alias("library"), "body").mapInArrow(run, "source string, url string, ref string, tag string, attribute string")
+
+
+def rendered_links(pages: DataFrame, flags: Flags = Flags()) -> DataFrame:
+    """Links of (url, headers, body, shadow, dom): raw page, shadow tree and rendered tree (JSON), each link once."""
+    from gossamer.functions.dom import dom_html
+
+    three = pages.select("url", "headers", F.explode(F.array(F.col("body"), dom_html(F.col("shadow")), dom_html(F.col("dom")))).alias("body"))
+    return page_links(three, flags).drop("position").distinct()

@@ -43,8 +43,15 @@ def _key(config: CrawlConfig, u: str = "url"):
     return ur.request_key("method", shown, "body")
 
 
-def traverse(seeds: DataFrame, links: DataFrame, config: CrawlConfig = CrawlConfig(), known: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """(visited requests, levels) over a link table (source, url, tag, attribute, method, body, position)."""
+def traverse(seeds: DataFrame, links: DataFrame, config: CrawlConfig = CrawlConfig(), known: DataFrame | None = None, resume: str | None = None) -> tuple[DataFrame, int]:
+    """(visited requests, levels) over a link table (source, url, tag, attribute, method, body, position).
+
+    ``resume`` is a folder that ``save`` wrote; the traversal goes on from its deepest level.
+    """
+    if resume is not None:
+        visited = seeds.sparkSession.read.parquet(resume)
+        deepest = visited.agg(F.max("depth")).first()[0]
+        return _levels(visited, visited.filter(F.col("depth") == deepest), links, config)
     start = seeds.select("url", F.lit("GET").alias("method"), F.lit(None).cast("string").alias("body"), F.lit(0).alias("depth"), "root_host", F.lit(None).cast("string").alias("source"), F.lit("seed").alias("tag"), F.lit(None).cast("string").alias("attribute"))
     level = start.withColumn("key", _key(config)).dropDuplicates(["key"]).select(*FRONTIER)
     if known is not None:  # known files hang on the seeds' hosts, at their own depth
@@ -53,7 +60,16 @@ def traverse(seeds: DataFrame, links: DataFrame, config: CrawlConfig = CrawlConf
         k = k.filter(ur.is_url("url") & gates.in_scope(F.col("url"), F.col("root_host"), config.scope) & (F.col("depth") <= config.max_depth))
         k = gates.unique_by(k.select(*FRONTIER), "key", ["source", "attribute", "url"]).join(level.select("key"), "key", "left_anti")
         level = level.unionByName(k)
-    frontier = visited = stage(level, "level0")
+    first = stage(level, "level0")
+    return _levels(first, first, links, config)
+
+
+def save(visited: DataFrame, folder: str) -> None:
+    """The state of a traversal that was ended by its time limit."""
+    visited.select(*FRONTIER).write.mode("overwrite").parquet(folder)
+
+
+def _levels(visited: DataFrame, frontier: DataFrame, links: DataFrame, config: CrawlConfig) -> tuple[DataFrame, int]:
     began, n = time.monotonic(), 1
     while not frontier.isEmpty() and n <= config.max_depth + 1:
         if config.max_seconds and time.monotonic() - began > config.max_seconds:

@@ -204,6 +204,12 @@ def _headers(s, d):
     return p.filter("url is not null").select("url", F.explode(extract.header_links(F.col("headers"))).alias("l")).select("url", "l.ref", "l.tag", "l.attribute").distinct()
 
 
+@query("links_scripts")
+def _scripts(s, d):
+    docs = table(s, d, "documents").filter("kind = 'script'").select(F.concat(F.lit("https://"), "source", F.lit("/"), "doc_id", F.lit(".js")).alias("url"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("text").alias("body"))
+    return extract.script_links(docs).distinct()
+
+
 @query("header_text", """select distinct response_id, array_to_string(list_transform(list_sort(map_entries(headers)), lambda e: lower(e.key) || ': ' || coalesce(e.value, '')), chr(10)) as head from responses where headers is not null""")
 def _head(s, d):
     return table(s, d, "responses").filter("headers is not null").select("response_id", tx.header_text(tx.lower_keys(F.col("headers"))).alias("head")).distinct()
