@@ -73,10 +73,6 @@ def _part(node: Column, i: int) -> Column:
     return F.split(node, "/")[i]
 
 
-#: Fields of a result that no child table holds.
-LARGE = frozenset({"body", "raw", "stored_response_path"})
-
-
 def children(results: DataFrame) -> DataFrame:
     """(result_id, entity, parent_pos, pos, name): one row per child record of a result.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.plans.staging import stage
+from gossamer.plans.staging import release, stage
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
@@ -28,6 +28,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         new = stage(small, "links")
         same = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
+        release(e)
         e = new
         if same:
             break

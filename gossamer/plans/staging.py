@@ -49,7 +49,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gossamer-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables whose last reader is staged itself."""
+    for t in tables:
+        path = getattr(t, "_staged", None)
+        if path:
+            jvm = t.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
