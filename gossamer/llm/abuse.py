@@ -171,6 +171,9 @@ class Scorer:
         self.learned = learned or {}
         self.common = common
         self.seen: dict[str, tuple[str, float]] = {}
+        # every term, phrase and sequence holds one of these words, so windows without any score 0
+        rarest = lambda words: min((w for w in words if w != "_"), key=lambda w: (w in common, -len(w)))
+        self.anchors = {*self.kind, *(rarest(p) for ps in self.phrases.values() for p, _, _ in ps), *map(rarest, self.learned)}
 
     def term(self, token: str) -> tuple[str, float]:
         """(the word it stands for, how sure)."""
@@ -198,6 +201,9 @@ class Scorer:
         """(term, sureness, place) of a normalised window; letters set apart by blanks are segmented by the trie."""
         out = []
         spaced = [m.span() for m in BLANKS.finditer(s)]
+        if not spaced and "-proof" not in s and not any(c in s for c in '"“«„'):
+            seen = self.seen
+            return [(*(seen.get(t) or self.term(t)), 0) for t in WORD.findall(s)]
         for m in WORD.finditer(s):
             p = m.start()
             span = next(((a, b) for a, b in spaced if a <= p < b), None)
@@ -218,6 +224,8 @@ class Scorer:
         """(score, strongest label) of one window."""
         words = [w for w, _, _ in terms]
         held = set(words)
+        if held.isdisjoint(self.anchors):
+            return 0.0, None
         quoted = [any(a <= p < b for a, b in quotes) for _, _, p in terms] if quotes else None
         reports = bool(held & REPORTING)
         free = lambda i: 1.0 if quoted is None or not quoted[i] else (0.0 if reports else 0.15)
