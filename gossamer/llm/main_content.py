@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -49,7 +50,7 @@ class _Hashed(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= _KEPT:
             self.clear()
-        k = self[token] = xxhash.xxh32_intdigest(token) % self.slots
+        k = self[token] = xxhash.xxh32_intdigest("0" if token.isdigit() else token) % self.slots
         return k
 
 
@@ -121,15 +122,16 @@ def leaves(text: str) -> tuple[list[int], list[str], list[list[int]], list[list[
         low = s.lower()
         tokens = TOKEN.findall(low)
         n = len(tokens)
-        digits = sum(t.isdigit() for t in tokens)
-        caps = sum(w[:1].isupper() for w in s.split())
+        digits = sum(map(str.isdigit, tokens))
+        caps = sum(map(str.isupper, [w[0] for w in s.split(" ")]))
+        noise = ("  " in line or "\xa0" in line or "&nbsp;" in line) and NOISE.search(line) is not None
         shapes.append(
             [
                 min(n, 200) ** 0.5 / 5,
                 float(s.isupper()),
                 float(low == s),
                 caps / (s.count(" ") + 1),
-                float(bool(NOISE.search(line))),
+                float(noise),
                 float(s[-1] in ".!?"),
                 float(low == title),
                 min(gap, 2) / 2,
@@ -147,18 +149,18 @@ def leaves(text: str) -> tuple[list[int], list[str], list[list[int]], list[list[
         gap = 0
         nos.append(no)
         texts.append(s)
-        paths.append([_path[t] for t in dict.fromkeys(path + own)] or [0])
-        words.append([_word["0" if t.isdigit() else t] for t in tokens] or [0])
+        paths.append(list(map(_path.__getitem__, dict.fromkeys(path + own))) or [0])
+        words.append(list(map(_word.__getitem__, tokens)) or [0])
     x = np.array(shapes, np.float32).reshape(len(nos), SHAPE)
     if len(nos):
-        x[:, 15] = np.linspace(0, 1, len(nos))
+        x[:, 15] = np.arange(len(nos)) / max(len(nos) - 1, 1)
     return nos, texts, paths, words, x
 
 
 def mean_rows(table: np.ndarray, slots: list[list[int]]) -> np.ndarray:
     """Mean of the table's rows for each list of slots (none of them is empty)."""
     n = np.fromiter(map(len, slots), np.int64, len(slots))
-    flat = np.fromiter((k for s in slots for k in s), np.int64, int(n.sum()))
+    flat = np.fromiter(chain.from_iterable(slots), np.int64, int(n.sum()))
     return np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None].astype(np.float32)
 
 
