@@ -4,8 +4,8 @@ Each body becomes the set of its hashed word sequences.  Bodies with the same
 set are one class and only its smallest id goes on.  A class's signature holds
 the smallest hash under each of ``PLACES`` permutations.  It is taken over the
 sequences up to a level of commonness that at least half of the text's own sequences
-keep, so neither stock phrases nor very large groups of copies spoil it; texts near
-the border of two levels get a signature on both.  Document frequencies are counted
+keep, so neither stock phrases nor very large groups of copies spoil it; a text above
+the first level gets a signature on the level before its own too.  Document frequencies are counted
 over all rows, in a fixed-size, mergeable table of counters.  The Hamming distance of two
 signatures, the number of places that differ, is an integer metric whose mean is
 places x (1 - Jaccard).
@@ -37,17 +37,17 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.markup import visible_text
 from gossamer.plans.components import connected_components
-from gossamer.plans.staging import maybe_broadcast, stage
+from gossamer.plans.staging import maybe_broadcast, release, stage
 
 WORD = re.compile(r"[^\W_]+")
 #: Words in a sequence, least words of a text, least share in common.
 SEQUENCE, LEAST_WORDS, SIMILARITY = 3, 60, 0.5
 #: Places of a signature, places of a band, bands that shard, and the BK-tree's radius.
-PLACES, BAND, BANDS, RADIUS = 64, 2, 28, 54
+PLACES, BAND, BANDS, RADIUS = 108, 3, 36, 80
 #: Counters of document frequencies; sequences in up to this share of texts are on level 0, in up to four times as many on 1, ...
-COUNTERS, COMMON, LEVELS = 1 << 18, 0.002, 16
-#: Share of a text's sequences its level keeps; below the second share the next level serves too, above the third the one before.
-KEEP, NEXT, BEFORE = 0.5, 0.65, 0.3
+COUNTERS, COMMON, LEVELS = 1 << 18, 0.004, 16
+#: Share of a text's sequences its level keeps; the level before it serves too where it keeps the second share.
+KEEP, BEFORE = 0.5, 0.2
 #: Members of a shard whose pairs are all checked, and members of one tree of a larger shard.
 SMALL, TREE = 16, 256
 #: Words a task keeps the hashes of.
@@ -152,18 +152,17 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).min(axis=1).astype(np.uint32)
 
 
-def signatures(grams: np.ndarray, levels: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(level, signature): one, or two where the text lies near the border of its level."""
+def signatures(grams: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
+    """One signature, or two where the level before the text's own keeps a fair share.
+
+    Near texts on different levels still meet: what one keeps on a lower level, the other keeps there too.
+    """
     g = grams.view(np.uint32)
     own = levels[g & np.uint32(COUNTERS - 1)]
     share = np.cumsum(np.bincount(own, minlength=LEVELS)) / len(g)
     k = int(np.argmax(share >= KEEP))
-    use = [k]
-    if share[k] < NEXT and k + 1 < LEVELS:
-        use.append(k + 1)
-    if k and share[k - 1] >= BEFORE:
-        use.append(k - 1)
-    return [(x, signature(g[own <= x])) for x in use]
+    use = [k, k - 1] if k and share[k - 1] >= BEFORE else [k]
+    return [signature(g[own <= x]) for x in use]
 
 
 def _signed(levels):
@@ -173,11 +172,11 @@ def _signed(levels):
             ids, sigs, keys = [], [], []
             for i, g in zip(b.column(0).to_pylist(), b.column(1)):
                 grams = g.values.to_numpy()
-                for level, s in signatures(grams, levels.value) if len(grams) else ():
+                for s in signatures(grams, levels.value) if len(grams) else ():
                     ids.append(i)
                     sigs.append(_mix(s.astype(np.uint64)).astype(np.uint8).tobytes())
                     band = s[: BAND * BANDS].reshape(BANDS, BAND).astype(np.uint64)
-                    k = ranks + np.uint64(level * 1000)
+                    k = ranks
                     for c in range(BAND):
                         k = _mix(k * _M1 + band[:, c])
                     keys.append(k.view(np.int64))
@@ -349,10 +348,12 @@ def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: i
     if not big.isEmpty():
         hot = stage(bands.join(maybe_broadcast(big.select("band", "low")), "band").dropDuplicates(["band", "id"]), "hot")
         pairs = pairs.unionByName(hot.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
-    links = stage(_verified(stage(pairs.distinct(), "pairs"), reps, similarity), "links")
+    pairs = stage(pairs.distinct(), "pairs")
+    links = stage(_verified(pairs, reps, similarity), "links")
     if hot is not None:
         more = _between_components(hot.select("band", "id", "sig"), reps, links, tree, radius, similarity)
         links = stage(links.unionByName(more).distinct(), "links")
+    release(sets, signed, sizes, pairs, hot)
     return links, member
 
 
