@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.functions.markup import page_text, site_of, visible_lines
-from gossamer.plans.staging import maybe_broadcast, stage
+from gossamer.plans.staging import maybe_broadcast, release, stage
 
 DIGITS = re.compile(r"\d+")
 #: Counters a task holds before it hands its summary on.
@@ -92,7 +92,9 @@ def confirmed_lines(keyed: DataFrame, at_least: int = 8) -> tuple[DataFrame, Dat
 
 def repeated_lines(results: DataFrame, at_least: int = 8) -> DataFrame:
     """(result_id, line_no) of every line whose text is on ``at_least`` results of its site."""
-    places, exact = confirmed_lines(stage(keyed_lines(results), "keyed"), at_least)
+    keyed = stage(keyed_lines(results), "keyed")
+    places, exact = confirmed_lines(keyed, at_least)
+    release(keyed)
     return places.join(maybe_broadcast(exact.select("k")), "k", "left_semi").select("result_id", "line_no").distinct()
 
 
