@@ -64,7 +64,7 @@ def query_pairs(u: Column | str) -> Column:
 
 
 def last_part(u: Column | str) -> Column:
-    return F.regexp_extract(path(u), r"([^/]*)/*$", 1)
+    return F.regexp_extract(path(u), r"([^/]*)/*\z", 1)
 
 
 def _some(value: Column, when: Column | None = None) -> Column:
@@ -87,7 +87,7 @@ def field(name: str, u: Column | str = "url", custom: Column | None = None) -> C
     u = _c(u)
     pairs = query_pairs(u)
     has_keys = F.size(pairs) > 0
-    folder = F.regexp_extract(path(u), r"^(/.*/)[^/]*$", 1)
+    folder = F.regexp_extract(path(u), r"(?s)^(/.*/)[^/]*\z", 1)
     is_file = last_part(u).contains(".")
     whole = {
         "url": lambda: _some(u, u.isNotNull()),

@@ -76,8 +76,8 @@ def in_scope(u: Column, root_host: Column, scope: Scope = Scope()) -> Column:
 
 def extension(u: Column) -> Column:
     """Last extension of the path in lower case; of the whole URL where the path is empty; '' for none."""
-    where = F.when(ur.raw_path(u) == "", F.regexp_replace(u, r"[?#].*$", "")).otherwise(ur.raw_path(u))
-    return F.lower(F.regexp_extract(where, r"(\.[^./]*)$", 1))
+    where = F.when(ur.raw_path(u) == "", F.regexp_replace(u, r"(?s)[?#].*\z", "")).otherwise(ur.raw_path(u))
+    return F.lower(F.regexp_extract(where, r"(\.[^./]*)\z", 1))
 
 
 def normal_extension(e: str) -> str:

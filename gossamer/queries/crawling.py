@@ -62,7 +62,7 @@ def _query(u: str) -> str:
 _PAIRS = f"(select url, unnest(list_filter(string_split({_query('url')}, '&'), lambda x: x <> '' and not starts_with(x, '='))) as p from (select distinct url from frontier))"
 _K = "url_decode(replace(split_part(p, '=', 1), '+', ' '))"
 _V = "url_decode(replace(case when contains(p, '=') then substr(p, instr(p, '=') + 1) else '' end, '+', ' '))"
-_DIR = rf"regexp_extract({_path('url')}, '^(/.*/)[^/]*$', 1)"
+_DIR = rf"regexp_extract({_path('url')}, '(?s)^(/.*/)[^/]*$', 1)"
 _FILE = rf"regexp_extract({_path('url')}, '([^/]*)/*$', 1)"
 _HAS = f"len(list_filter(string_split({_query('url')}, '&'), lambda x: x <> '' and not starts_with(x, '='))) > 0"
 _U = "(select distinct url from frontier where url is not null)"
@@ -164,7 +164,7 @@ for _n, (_scope, _sql) in _SCOPES.items():
     SQL[_n] = f"select edge_id, {_sql} as ok from {_HOSTS}"
 
 # extensions
-_EXT = rf"lower(regexp_extract(case when {_raw_path('url')} = '' then regexp_replace(url, '[?#].*$', '') else {_raw_path('url')} end, '(\.[^./]*)$', 1))"
+_EXT = rf"lower(regexp_extract(case when {_raw_path('url')} = '' then regexp_replace(url, '(?s)[?#].*$', '') else {_raw_path('url')} end, '(\.[^./]*)$', 1))"
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _EXTS = {
     "extension_default": ((), (), True, f"{_EXT} not in {_LIST(gates.DENIED)}"),

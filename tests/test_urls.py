@@ -32,6 +32,8 @@ def test_fields_of_null_and_odd_urls(spark):
     assert got[3].path == [] and got[3].dir == [] and got[3].key == []
     assert got[4].key == ["b"] and got[4].dir == ["//"]
     assert got[5].path == ["/%zz+é"]
+    line = spark.createDataFrame([("https://a.example/d/f.x/\n",)], "url string").select(ur.field("file"), ur.field("dir")).first()
+    assert line[0] == [] and line[1] == ["/d/f.x/"]
 
 
 def test_field_names():
@@ -118,6 +120,10 @@ def test_script_endpoints():
     assert tx.relative_endpoints("var e='/test/content.do';") == ["/test/content.do"]
 
 
+def test_texts_may_hold_any_character(spark):
+    assert tx.find_all(["a\x01b/c.php \x02 \ue000 x/y.php", None, ""], r"[\w\x01]+/\w\.php") == [["a\x01b/c.php", "x/y.php"], [], []]
+
+
 def test_adversarial_text_stays_linear(spark):
     bad = [" " + "http://a" * 20_000, "a" * 2_000_000, "a." * 1_000_000, None, ""]
     df = spark.createDataFrame([(b,) for b in bad], "t string")
