@@ -1,11 +1,11 @@
 """Groups of responses whose texts are near: BK-trees over Hamming distance, sharded.
 
 Each body becomes the set of its hashed word sequences.  Bodies with the same
-set are one class and only its smallest id goes on.  A class's signature holds
-the smallest hash under each of ``PLACES`` permutations.  It is taken over the
+set are one class and only its smallest id goes on.  A signature holds
+the smallest hash under each of ``PLACES`` permutations.  A class has one over all its
+sequences, so what near texts share counts however common it is, and a second one over the
 sequences up to a level of commonness that at least half of the text's own sequences
-keep, so neither stock phrases nor very large groups of copies spoil it; a text above
-the first level gets a signature on the level before its own too.  Document frequencies are counted
+keep, which stock phrases don't dilute.  Document frequencies are counted
 over all rows, in a fixed-size, mergeable table of counters.  The Hamming distance of two
 signatures, the number of places that differ, is an integer metric whose mean is
 places x (1 - Jaccard).
@@ -46,8 +46,8 @@ SEQUENCE, LEAST_WORDS, SIMILARITY = 3, 60, 0.5
 PLACES, BAND, BANDS, RADIUS = 108, 3, 36, 80
 #: Counters of document frequencies; sequences in up to this share of texts are on level 0, in up to four times as many on 1, ...
 COUNTERS, COMMON, LEVELS = 1 << 18, 0.004, 16
-#: Share of a text's sequences its level keeps; the level before it serves too where it keeps the second share.
-KEEP, BEFORE = 0.5, 0.2
+#: Least share of a text's sequences its level keeps.
+KEEP = 0.5
 #: Members of a shard whose pairs are all checked, and members of one tree of a larger shard.
 SMALL, TREE = 16, 256
 #: Words a task keeps the hashes of.
@@ -153,16 +153,16 @@ def signature(grams: np.ndarray) -> np.ndarray:
 
 
 def signatures(grams: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
-    """One signature, or two where the level before the text's own keeps a fair share.
+    """The signature of the whole set, and that of the text's own level where the level leaves sequences out.
 
-    Near texts on different levels still meet: what one keeps on a lower level, the other keeps there too.
+    Nearness is defined on the whole set, so every text has a signature of it: what two pages share may be
+    just what is common.
     """
     g = grams.view(np.uint32)
     own = levels[g & np.uint32(COUNTERS - 1)]
     share = np.cumsum(np.bincount(own, minlength=LEVELS)) / len(g)
     k = int(np.argmax(share >= KEEP))
-    use = [k, k - 1] if k and share[k - 1] >= BEFORE else [k]
-    return [signature(g[own <= x]) for x in use]
+    return [signature(g)] + ([signature(g[own <= k])] if share[k] < 1 else [])
 
 
 def _signed(levels):

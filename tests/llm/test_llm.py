@@ -266,6 +266,20 @@ def test_near_groups(spark, small, tree):
     assert all(r.links > 0 for r in got)
 
 
+def test_pages_of_one_site_that_share_their_menus_meet():
+    rng = np.random.default_rng(3)
+    levels = np.zeros(near_copies.COUNTERS, np.uint8)
+    menu = rng.integers(0, 1 << 31, 100).astype(np.int32)
+    levels[menu.view(np.uint32) & np.uint32(near_copies.COUNTERS - 1)] = 5
+    met = 0
+    for _ in range(100):  # 200 sequences each: 100 of the menus, 37 of their own in common; near at 137 / 263 = 0.52, on the rest at 37 / 163
+        own = rng.integers(0, 1 << 31, 163).astype(np.int32)
+        a, b = (near_copies.signatures(np.concatenate([menu, x]), levels) for x in (own[:100], own[63:]))
+        bands = lambda x: {(i, *x[i * near_copies.BAND :][: near_copies.BAND]) for i in range(near_copies.BANDS)}
+        met += any(bands(x) & bands(y) and (x != y).sum() <= near_copies.RADIUS for x in a for y in b)
+    assert met >= 97
+
+
 def test_near_edges(spark):
     df = responses(spark, [(1, 200, None), (2, 200, "x")])
     assert near_copies.found(df).count() == 0 and near_copies.found(df.limit(0)).count() == 0
