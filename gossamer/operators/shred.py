@@ -135,3 +135,69 @@ def xhr_requests(results: DataFrame) -> DataFrame:
     """(result_id, pos, method, endpoint, body, tag, attribute, source, raw): the sub-request entity."""
     r = results.select("result_id", F.struct(F.transform("response.xhr_requests", lambda x: F.when(x.isNotNull(), F.struct(*[x[c].alias(c) for c in REQUEST_COLUMNS]))).alias("xhr_requests")).alias("response"))
     return entity(adjacency(r, "result_id", ["response"]), "result_id", "xhr_requests[]", REQUEST_COLUMNS).select("result_id", "pos", *REQUEST_COLUMNS)
+
+
+RESPONSE_COLUMNS = {"status_code": "int", "content_length": "bigint", "body": "string", "raw": "string", "stored_response_path": "string"}
+
+
+def responses(results: DataFrame) -> DataFrame:
+    """(result_id, parent_pos, pos, status_code, content_length, body, raw, stored_response_path): the response entity."""
+    has = set(results.schema["response"].dataType.names)
+    r = results.select("result_id", F.when(F.col("response").isNotNull(), F.struct(*[(F.col(f"response.{c}") if c in has else F.lit(None).cast(k)).alias(c) for c, k in RESPONSE_COLUMNS.items()])).alias("response"))
+    e = entity(adjacency(r, "result_id", ["response"]), "result_id", "response", list(RESPONSE_COLUMNS))
+    return e.select("result_id", F.lit(0).alias("parent_pos"), "pos", *[F.col(c).cast(k).alias(c) for c, k in RESPONSE_COLUMNS.items()])
+
+
+def records(results: DataFrame) -> DataFrame:
+    """(result_id, timestamp, received_at, error): the record itself."""
+    kinds = dict(results.dtypes)
+    return results.filter("result_id is not null").dropDuplicates(["result_id"]).select("result_id", *[(F.col(c) if c in kinds else F.lit(None).cast(k)).alias(c) for c, k in (("timestamp", "timestamp"), ("received_at", "timestamp"), ("error", "string"))])
+
+
+def _elements(results: DataFrame, label: str) -> DataFrame:
+    """Nodes that are the scalar elements of an array."""
+    return adjacency(_collections(results), "result_id", ["request", "response"]).filter((F.col("label") == label) & (F.col("kind") == "scalar"))
+
+
+def technologies(results: DataFrame) -> DataFrame:
+    """(result_id, parent_pos, pos, value): the technologies of a response."""
+    return _elements(results, "technologies[]").select("result_id", F.lit(0).alias("parent_pos"), F.col("ordinal").alias("pos"), F.col("scalar").alias("value"))
+
+
+def form_parameters(results: DataFrame) -> DataFrame:
+    """(result_id, parent_pos, pos, value): the parameters of forms; parent_pos is the form's place."""
+    return _elements(results, "parameters[]").select("result_id", _part(F.col("node"), 2).cast("int").alias("parent_pos"), F.col("ordinal").alias("pos"), F.col("scalar").alias("value"))
+
+
+def _owner(node: Column) -> Column:
+    return F.when(node.startswith("response/xhr_requests/"), "xhr_request").when(node.startswith("request/"), "request").otherwise("response")
+
+
+def _place(node: Column) -> Column:
+    return F.when(node.startswith("response/xhr_requests/"), _part(node, 2).cast("int")).otherwise(0)
+
+
+def headers(results: DataFrame) -> DataFrame:
+    """(result_id, owner, parent_pos, pos, name, value): headers of request, response and xhr_request (at parent_pos).
+
+    Entries of a map have no order, so pos is 0; a null value is a null.
+    """
+    has = set(results.schema["response"].dataType.names)
+    own = F.struct(F.col("request.headers").alias("headers")).alias("request")
+    xhr = F.transform("response.xhr_requests", lambda x: F.when(x.isNotNull(), F.struct(x["headers"].alias("headers")))).alias("xhr_requests")
+    parts = [F.col("response.headers").alias("headers")] if "headers" in has else []
+    nodes = adjacency(results.select("result_id", own, F.struct(*parts, xhr).alias("response")), "result_id", ["request", "response"])
+    e = entity(nodes, "result_id", "headers{}", ["key", "value"])
+    return e.select("result_id", _owner(F.col("node")).alias("owner"), _place(F.col("node")).alias("parent_pos"), "pos", F.col("key").alias("name"), "value")
+
+
+def custom_fields(results: DataFrame) -> DataFrame:
+    """(result_id, owner, parent_pos, pos, name, value): the values of the custom fields of request and xhr_request (at parent_pos).
+
+    A field without values has one row with neither pos nor value.
+    """
+    nodes = adjacency(_collections(results), "result_id", ["request", "response"])
+    names = entity(nodes, "result_id", "custom_fields{}", ["key"])
+    values = nodes.filter((F.col("label") == "value[]") & (F.col("kind") == "scalar")).select("result_id", F.regexp_replace("parent", "/value$", "").alias("node"), F.col("ordinal").alias("at"), F.col("scalar").alias("value"))
+    node = F.col("node")
+    return names.join(values, ["result_id", "node"], "left").select("result_id", _owner(node).alias("owner"), _place(node).alias("parent_pos"), F.col("at").alias("pos"), F.col("key").alias("name"), "value")

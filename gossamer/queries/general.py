@@ -13,6 +13,12 @@ QUERIES = {
     "p6_requests": lambda s, d: shred.requests(table(s, d, "results")),
     "p6_forms": lambda s, d: shred.forms(table(s, d, "results")),
     "p6_xhr_requests": lambda s, d: shred.xhr_requests(table(s, d, "results")),
+    "p6_records": lambda s, d: shred.records(table(s, d, "results")),
+    "p6_responses": lambda s, d: shred.responses(table(s, d, "results")),
+    "p6_technologies": lambda s, d: shred.technologies(table(s, d, "results")),
+    "p6_form_parameters": lambda s, d: shred.form_parameters(table(s, d, "results")),
+    "p6_headers": lambda s, d: shred.headers(table(s, d, "results")),
+    "p6_custom_fields": lambda s, d: shred.custom_fields(table(s, d, "results")),
 }
 
 _LINKS = r"""

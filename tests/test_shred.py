@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from gossamer.operators import shred
+from gossamer.queries import general
 
 REQ = "struct<method:string,endpoint:string,body:string,headers:map<string,string>,tag:string,attribute:string,source:string,custom_fields:map<string,array<string>>,raw:string>"
 FORM = "struct<method:string,action:string,enctype:string,parameters:array<string>>"
@@ -45,3 +48,21 @@ def test_rebuilt_from_the_adjacency_table(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert shred.children(df).count() == 0 and shred.forms(df).count() == 0
+
+
+def test_values_of_all_parts(spark):
+    df = data(spark)
+    rows = lambda x: sorted(map(tuple, x.collect()), key=str)
+    assert rows(shred.responses(df)) == [(1, 0, 0, 200, None, "b", None, None), (3, 0, 0, None, None, None, None, None)]
+    assert [(r.result_id, r.error) for r in shred.records(df).orderBy("result_id").collect()] == [(1, None), (2, "x"), (3, None)]
+    assert rows(shred.technologies(df)) == [(1, 0, 1, "x"), (1, 0, 3, "")]
+    assert rows(shred.form_parameters(df)) == [(1, 2, 1, "p"), (1, 2, 3, "")]
+    assert rows(shred.headers(df)) == [(1, "xhr_request", 1, 0, "", "v"), (1, "xhr_request", 1, 0, "h", None)]
+    both = df.filter("result_id = 3").withColumn("request", F.col("request").withField("headers", F.expr("map('a', 'b')"))).withColumn("response", F.col("response").withField("headers", F.expr("map('c', 'd')")))
+    assert rows(shred.headers(both)) == [(3, "request", 0, 0, "a", "b"), (3, "response", 0, 0, "c", "d")]
+    fields = [(1, "request", 0, 1, "ü", "a"), (1, "request", 0, 2, "ü", ""), (1, "xhr_request", 1, 1, "f/g", "1"), (1, "xhr_request", 1, 3, "f/g", "2"), (1, "xhr_request", 1, None, "none", None)]
+    assert rows(shred.custom_fields(df)) == sorted(fields, key=str)
+
+
+def test_tables_of_all_parts_are_registered():
+    assert {f"p6_{n}" for n in "records responses technologies form_parameters headers custom_fields".split()} <= general.QUERIES.keys()
