@@ -71,7 +71,7 @@ def save(visited: DataFrame, folder: str) -> None:
 
 def _levels(visited: DataFrame, frontier: DataFrame, links: DataFrame, config: CrawlConfig) -> tuple[DataFrame, int]:
     began, n = time.monotonic(), 1
-    while not frontier.isEmpty() and n <= config.max_depth + 1:
+    while not frontier.isEmpty():  # climbing goes up again, so the depth of a level does not bound the rounds; uniqueness does
         if config.max_seconds and time.monotonic() - began > config.max_seconds:
             break
         out = frontier.filter(F.col("depth") < config.max_depth).select(F.col("url").alias("source"), "depth", "root_host").dropDuplicates(["source"]).join(links, "source")

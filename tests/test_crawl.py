@@ -54,6 +54,12 @@ def test_path_climb(spark):
     assert depths(r.results) == {"/d/e/f": 0, "/deep": 1, "/d/e": 0, "/d": 0}
 
 
+def test_folders_climbed_from_the_deepest_level_are_expanded(spark):
+    pages = [("https://a.example", 200, None, '<a href="/1">', None), ("https://a.example/1", 200, None, '<a href="/x/y">', None), ("https://a.example/x", 200, None, '<a href="/late">', None)]
+    r = crawl.crawl(spark.createDataFrame(pages, PAGES), seed(spark), CrawlConfig(max_depth=2, path_climb=True))
+    assert depths(r.results) == {"": 0, "/1": 1, "/x/y": 2, "/x": 1, "/late": 2}
+
+
 def test_redirects(spark):
     assert depths(crawl.crawl(site(spark), seed(spark, "https://a.example/go"), CrawlConfig(max_depth=1)).results) == {"/go": 0, "/1": 1, "/hidden": 1}
     assert depths(crawl.crawl(site(spark), seed(spark, "https://a.example/go"), CrawlConfig(max_depth=1, follow_redirects=False)).results) == {"/go": 0}
