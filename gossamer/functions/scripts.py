@@ -8,12 +8,19 @@ passed over; templates count with their holes as EXPR.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SCAN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<q>[\"'`])(?P<s>(?:\\.|(?!(?P=q)).)*)(?P=q)", re.S)
+
+@lru_cache
+def _scan(quotes: str) -> re.Pattern:
+    """Comments and literals in the given quotes; ``open`` is set on a literal that never ends."""
+    return re.compile(rf"//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<q>[{quotes}])(?P<s>(?:\\.|(?!(?P=q))[^\\])*+)(?:(?P=q)|(?P<open>))", re.S)
+
+
 _KINDS = (
     ("fetch", re.compile(r"\bfetch\s*\(\s*$")),
     ("xhr", re.compile(r"\.open\s*\(\s*[\"'`][A-Za-z]+[\"'`]\s*,\s*$")),
@@ -22,16 +29,18 @@ _KINDS = (
     ("import", re.compile(r"\bimport\s*\(?\s*$|\bfrom\s+$|\bimportScripts\s*\(\s*$")),
 )
 _PATH = re.compile(r"^(?:https?:)?//[\w.\-]+|^\.{0,2}/[\w%\-./]+|^[\w\-./]+\.(?:php|aspx?|jsp|do|action|json|html?)(?:[?#]|$)|^[\w\-]+(?:/[\w\-]+)+/?\??")
-LONGEST_LINE = 100_000
 
 
 def script_calls(text: str) -> list[tuple[str, str]]:
-    """(endpoint, type) in order, each once; over-long lines (minified bundles) are passed over."""
-    text = "\n".join(x for x in text.split("\n") if len(x) <= LONGEST_LINE)
+    """(endpoint, type) in order, each once."""
     out: dict[tuple[str, str], None] = {}
-    for m in _SCAN.finditer(text):
-        s = m["s"]
-        if not s or len(s) > 2000:
+    quotes, at = "\"'`", 0
+    while quotes and (m := _scan(quotes).search(text, at)):
+        if m["open"] is not None:  # no such quote ends a literal from here on; without it the scan stays linear
+            quotes, at = quotes.replace(m["q"], ""), m.start() + 1
+            continue
+        at, s = m.end(), m["s"]
+        if not s:
             continue
         if m["q"] == "`":
             s = re.sub(r"\$\{[^}]*\}", "EXPR", s)

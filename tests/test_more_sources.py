@@ -57,6 +57,13 @@ fetch('/api/a', {}); x.open("POST", "/api/b"); $.get("c/d.php"); $.ajax({type: '
 window.location.href = "/next"; location.assign(`/user/${id}`); import x from './m.js'; var s = "just words", t = '/static/img', u = 'https://h.example/p?q=1';"""
 
 
+def test_script_calls_of_minified_bundles():
+    long = "/" + "a" * 3000
+    text = "var a=1;" * 20_000 + f"fetch('/api/one');x.open('GET','{long}');" + "b=2;" * 1000
+    assert scripts.script_calls(text) == [("/api/one", "fetch"), (long, "xhr")]
+    assert scripts.script_calls("/* " + "x" * 200_000 + "\n' */ fetch('/two')") == [("/two", "fetch")]
+
+
 def test_script_calls(spark):
     assert scripts.script_calls(JS) == [
         ("/api/a", "fetch"), ("/api/b", "xhr"), ("c/d.php", "jquery"), ("/api/e", "jquery"), ("/next", "location"), ("/user/EXPR", "location"), ("./m.js", "import"), ("/static/img", "url"), ("https://h.example/p?q=1", "url"),
