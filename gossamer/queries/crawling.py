@@ -206,7 +206,7 @@ def _headers(s, d):
 
 @query("links_scripts")
 def _scripts(s, d):
-    docs = table(s, d, "documents").filter("kind = 'script'").select(F.concat(F.lit("https://"), "source", F.lit("/"), "doc_id", F.lit(".js")).alias("url"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("text").alias("body"))
+    docs = table(s, d, "documents").filter("kind = 'script'").select(F.concat(F.lit("https://"), F.coalesce("source", F.lit("unknown.invalid")), F.lit("/"), "doc_id", F.lit(".js")).alias("url"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("text").alias("body"))
     return extract.script_links(docs).distinct()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gossamer.config import CrawlConfig
 from gossamer.functions import dom, scripts
+from gossamer.queries import crawling
 from gossamer.operators import extract
 from gossamer.plans import crawl
 from gossamer.sources import fetch, seeds
@@ -64,6 +65,13 @@ def test_script_calls_of_minified_bundles():
     assert scripts.script_calls("/* " + "x" * 200_000 + "\n' */ fetch('/two')") == [("/two", "fetch")]
 
 
+def test_scripts_without_a_source_are_read(spark, tmp_path):
+    rows = [(1, None, "script", "fetch('/a')"), (2, "b.example", "script", "fetch('/b')")]
+    spark.createDataFrame(rows, "doc_id long, source string, kind string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.ref) for r in crawling.QUERIES["links_scripts"](spark, str(tmp_path)).collect()}
+    assert got == {("https://unknown.invalid/1.js", "/a"), ("https://b.example/2.js", "/b")}
+
+
 def test_script_calls(spark):
     assert scripts.script_calls(JS) == [
         ("/api/a", "fetch"), ("/api/b", "xhr"), ("c/d.php", "jquery"), ("/api/e", "jquery"), ("/next", "location"), ("/user/EXPR", "location"), ("./m.js", "import"), ("/static/img", "url"), ("https://h.example/p?q=1", "url"),
