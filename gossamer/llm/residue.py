@@ -40,6 +40,11 @@ EXEMPLARS = [
     ("error", "service unavailable the _ is down for maintenance until _"),
     ("error", "gateway timeout"),
     ("error", "forbidden"),
+    ("error", "bad gateway"),
+    ("error", "service temporarily unavailable"),
+    ("error", "gateway time out"),
+    ("error", "the requested url was not found on this server"),
+    ("error", "you don t have permission to access this resource"),
     ("error", "not found"),
     ("error", "access denied you do not have leave to view this _"),
     ("error", "access denied you do not have permission to view this page"),
@@ -82,6 +87,8 @@ EXEMPLARS = [
     ("beside", "try the search _"),
     ("beside", "reference _"),
     ("beside", "incident _"),
+    ("beside", "nginx _"),
+    ("beside", "apache _ server at _ _ port"),
     ("beside", "ref"),
     ("beside", "fail"),
 ]
@@ -98,7 +105,6 @@ FILLER_WINDOW, FILLER_SHARE, RUN_WORDS = 6, 0.8, 2
 
 ASIDE = re.compile(r"(?is)<(nav|footer|header|aside)(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\Z)")
 CODE = re.compile(r"(?is)<(pre|code|samp|kbd|textarea|xmp)(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\Z)")
-TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
 HEADING = re.compile(r"(?is)<h1(?=[\s>])[^>]*>(.*?)</h1\s*>")
 WORD = re.compile(r"[^\W\d_]+(?![^\W_]*\d)")
 TRACE = re.compile(r"^\s*(?:at [\w.$<>]+\([^()\n]*\)|File \"[^\"\n]*\", line \d+.*)\s*$")
@@ -132,8 +138,6 @@ def passages(body: str) -> tuple[list[str], int]:
             return [collapse(s) for s in _strings(json.loads(body))], 0
         except ValueError:
             pass
-    m = TITLE.search(body)
-    title = collapse(TAG.sub(" ", m[1])) if m else ""
     text = ASIDE.sub(" ", without_hidden(body))
     code = 0
 
@@ -145,7 +149,7 @@ def passages(body: str) -> tuple[list[str], int]:
         return " "
 
     text = CODE.sub(shown, text)
-    text = HEADING.sub(lambda m: " " if (h := collapse(TAG.sub(" ", m[1]))) == title else f"\n{MARK}{h}\n", text)
+    text = HEADING.sub(lambda m: f"\n{MARK}{collapse(TAG.sub(' ', m[1]))}\n", text)
     lines = (collapse(s) for s in TAG.sub(" ", re.sub(r"(?i)<(?:br|/p|/li|/h[1-6]|/div|/section|/td|/tr)\b[^>]*>", "\n", text)).split("\n"))
     return [s for s in lines if s], code
 

@@ -204,6 +204,17 @@ def test_residue(spark):
     assert residue.found(df.limit(0)).count() == 0
 
 
+def test_headings_that_repeat_the_title_are_judged():
+    index = residue.Index({"": 1000, "not": 200, "found": 100, "server": 50, "at": 300})
+    page = lambda t, rest: f"<html><head><title>{t}</title></head><body><center><h1>{t}</h1></center>{rest}</body></html>"
+    for t in ("404 Not Found", "500 Internal Server Error", "502 Bad Gateway", "403 Forbidden"):
+        for rest in ("", "<hr><center>nginx</center>", "<hr><center>nginx/1.18.0 (Ubuntu)</center>", "<hr><address>Apache/2.4.41 (Ubuntu) Server at a.example Port 80</address>"):
+            assert index.judge(page(t, rest))[1] == "error", (t, rest)
+    assert index.judge(page("{{ title }}", f"<p>{SENTENCE}</p>"))[1] == "slot"
+    assert index.judge(page("Boats of the harbour", f"<p>{SENTENCE}</p>"))[1] is None
+    assert index.judge(page("Not found", f"<p>{SENTENCE}</p>"))[1] is None
+
+
 # near copies
 
 
