@@ -70,6 +70,8 @@ dripping wet=1.5|begging for it=2|horny singles=3|adult videos=2|gets fucked by=
 #: Words of a window that mention, report or explain what they name.
 REPORTING = set("flag words insults insult called removed moderators researchers studied rule quoted heard court accused threatened clinic advice health education word term slur such quote quoting reported mention".split())
 YOU = set("you your yours yourself u du dein deine dich dir tu ta te toi tes eres tú tus vous".split())
+#: Words that may stand between an address and the insult it is called.
+LINKS = set("are re r were is a an the such nothing but just what complete total absolute real fucking bloody bist seid ein eine so es êtes etes un une una sos".split())
 #: Least score of a case; weights of learned sequences; bound of the examples; words of a window and its step.
 CASE, LEARNED, LEARNED_LEAST, EXAMPLES, WINDOW, STEP = 2.0, 0.5, 3, 100_000, 40, 20
 
@@ -173,6 +175,7 @@ class Scorer:
         self.seen: dict[str, tuple[str, float]] = {}
         # every term, phrase and sequence holds one of these words, so windows without any score 0
         rarest = lambda words: min((w for w in words if w != "_"), key=lambda w: (w in common, -len(w)))
+        self.swapped = {w[:i] + w[i + 1] + w[i] + w[i + 2 :]: w for w in self.kind if len(w) >= 5 for i in range(len(w) - 1)}
         self.anchors = {*self.kind, *(rarest(p) for ps in self.phrases.values() for p, _, _ in ps), *map(rarest, self.learned)}
 
     def term(self, token: str) -> tuple[str, float]:
@@ -180,7 +183,10 @@ class Scorer:
         got = self.seen.get(token)
         if got is None:
             got = (token, 1.0)
-            if token not in self.kind and 3 <= len(token) <= 40 and not token.isdigit():
+            swapped = self.swapped.get(token) if token not in self.kind and token not in self.common else None
+            if swapped:  # two letters that changed places
+                got = (swapped, 1.0)
+            elif token not in self.kind and 3 <= len(token) <= 40 and not token.isdigit():
                 strange = not token.isalpha() or any(a == b == c for a, b, c in zip(token, token[1:], token[2:]))
                 if strange or len(token) >= 6 and token not in self.common:
                     m = self.trie.match(token, 0 if strange else 1)
@@ -231,6 +237,19 @@ class Scorer:
         free = lambda i: 1.0 if quoted is None or not quoted[i] else (0.0 if reports else 0.15)
         by: Counter = Counter()
         addressed = bool(held & YOU)
+        told = bool(held & (REPORTING - LINKS))
+
+        def called(i: int) -> bool:
+            """Whether the word is what the one addressed is called: 'you are a ...', 'you ...!', '... you'."""
+            if not addressed or told or free(i) < 1:
+                return False
+            j = i - 1
+            while j >= 0 and words[j] in LINKS:
+                j -= 1
+            if j >= 0 and words[j] in YOU:  # 'you rat on them', 'you fool around' are verbs
+                return j < i - 1 or words[j] in ("eres", "tus") or words[i] not in self.weak or i == len(words) - 1
+            return False
+
         for i, w in enumerate(words):
             for phrase, weight, label in self.phrases.get(w, ()):
                 k = len(phrase)
@@ -242,11 +261,14 @@ class Scorer:
                 described = any(self.kind.get(b) == "describer" for b in before)
                 near = addressed and bool(YOU.intersection(words[max(0, i - 6) : i + 4]))
                 weight = 1.6 if described else 1.2 if near and w not in self.weak else 0.9 if near else 0.25 if w in self.weak else 1.0
+                if called(i):
+                    weight = max(weight, CASE)
                 by["abuse"] += (weight + 0.5 * (described and near)) * terms[i][1] * free(i)
             elif kind == "describer":
                 by["abuse"] += (0.6 if addressed else 0.25) * terms[i][1] * free(i)
             elif kind == "sexual":
-                by["sexual"] += (0.3 if w in self.weak else 1.3) * terms[i][1] * free(i)
+                curse = addressed and not told and free(i) == 1 and w not in self.weak and bool(YOU.intersection(words[max(0, i - 1) : i + 2]))
+                by["sexual"] += (0.3 if w in self.weak else CASE if curse else 1.3) * terms[i][1] * free(i)
         if self.learned:
             hits: Counter = Counter()
             for k in (3, 4):

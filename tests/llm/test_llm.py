@@ -404,6 +404,14 @@ def test_abuse(spark):
     assert abuse.found(df.limit(0), ex.limit(0)).count() == 0
 
 
+def test_plain_insults_are_cases():
+    scorer = abuse.Scorer()
+    for t in ("You are a moron.", "You asshole.", "You are an idiot.", "You're such a loser!", "Fuck you.", "Du bist ein Arschloch.", "Tu es un connard.", "Eres una puta.", "You are an idoit.", "You are a mroon.", "You bitch."):
+        assert scorer.score(t)[0] >= abuse.CASE, t
+    for t in ("You are not a moron.", "If you pig out, you rat on them.", 'He said "you are a moron".', "The court heard that you are an idiot.", "You saw the worm in the garden.", "You are a lover of boats.", "You trust the whole crew."):
+        assert scorer.score(t)[0] < abuse.CASE, t
+
+
 def test_learned_sequences_generalise_to_held_out_examples(spark):
     path = "/root/testdata/sf0.01/abuse_examples.parquet"
     if not os.path.exists(path):
