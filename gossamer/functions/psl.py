@@ -17,13 +17,13 @@ ENTRY = "mozilla/public-suffix-list.txt"
 
 @lru_cache(1)
 def load_rules() -> frozenset[str]:
-    """All rules of the list, read once on the driver; without the jar only the last label is a suffix."""
+    """All rules of the list, read once on the driver; a missing list is an error, as every registrable domain would change."""
     for jar in sorted(glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "httpclient*.jar"))):
         with zipfile.ZipFile(jar) as z:
             if ENTRY in z.namelist():
                 lines = z.read(ENTRY).decode("utf-8").splitlines()
                 return frozenset(x.strip().split()[0] for x in lines if x.strip() and not x.startswith("//"))
-    return frozenset()
+    raise FileNotFoundError(f"no jar of Spark's holds {ENTRY}")
 
 
 def registrable(host: str | None, rules: frozenset[str]) -> str:

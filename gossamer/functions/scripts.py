@@ -8,6 +8,7 @@ passed over; templates count with their holes as EXPR.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,31 +22,63 @@ def _scan(quotes: str) -> re.Pattern:
     return re.compile(rf"//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<q>[{quotes}])(?P<s>(?:\\.|(?!(?P=q))[^\\])*+)(?:(?P=q)|(?P<open>))", re.S)
 
 
+# what stands before a literal, white space cut off
 _KINDS = (
-    ("fetch", re.compile(r"\bfetch\s*\(\s*$")),
-    ("xhr", re.compile(r"\.open\s*\(\s*[\"'`][A-Za-z]+[\"'`]\s*,\s*$")),
-    ("jquery", re.compile(r"\$\.(?:get|post|ajax|getJSON|load)\s*\(\s*(?:\{\s*(?:[^{}]*,)?\s*url\s*:\s*)?$")),
-    ("location", re.compile(r"\blocation(?:\.href)?\s*=\s*$|\blocation\.(?:assign|replace)\s*\(\s*$|\bwindow\.open\s*\(\s*$")),
-    ("import", re.compile(r"\bimport\s*\(?\s*$|\bfrom\s+$|\bimportScripts\s*\(\s*$")),
+    ("fetch", re.compile(r"\bfetch\s*\($")),
+    ("xhr", re.compile(r"\.open\s*\(\s*[\"'`][A-Za-z]+[\"'`]\s*,$")),
+    ("jquery", re.compile(r"\$\.(?:get|post|ajax|getJSON|load)\s*\($")),
+    ("location", re.compile(r"\blocation(?:\.href)?\s*=$|\blocation\.(?:assign|replace)\s*\($|\bwindow\.open\s*\($")),
+    ("import", re.compile(r"\bimport\s*\(?$|\bfrom$|\bimportScripts\s*\($")),
 )
+_SETTINGS, _URL_KEY = re.compile(r"\$\.(?:get|post|ajax|getJSON|load)\s*\(\s*\{"), re.compile(r"(?:^|[{,\s])[\"']?url[\"']?\s*:$")
 _PATH = re.compile(r"^(?:https?:)?//[\w.\-]+|^\.{0,2}/[\w%\-./]+|^[\w\-./]+\.(?:php|aspx?|jsp|do|action|json|html?)(?:[?#]|$)|^[\w\-]+(?:/[\w\-]+)+/?\??")
+#: Characters of a call that are looked at, white space and comments between its parts not counted.
+_CALL = 120
+_LAST = frozenset("(,=")
 
 
-def script_calls(text: str) -> list[tuple[str, str]]:
-    """(endpoint, type) in order, each once."""
-    out: dict[tuple[str, str], None] = {}
-    quotes, at = "\"'`", 0
+def _skeleton(text: str) -> Iterator[tuple[str, str, str]]:
+    """(quote, literal, code before it) of each literal; comments are left out and white space runs are one blank."""
+    quotes, at, code = "\"'`", 0, ""
+
+    def more(code: str, part: str) -> str:
+        if part.isalnum() or not part:
+            return (code + part)[-2 * _CALL :]
+        if len(part) > 4 * _CALL:
+            part = part[-4 * _CALL :] if not part[-4 * _CALL :].isspace() else part.rstrip()[-4 * _CALL :] + " "
+        return (code + " ".join((part + "\0").split())[:-1])[-2 * _CALL :]
+
     while quotes and (m := _scan(quotes).search(text, at)):
         if m["open"] is not None:  # no such quote ends a literal from here on; without it the scan stays linear
-            quotes, at = quotes.replace(m["q"], ""), m.start() + 1
+            quotes = quotes.replace(m["q"], "")
+            code, at = more(code, text[at : m.start() + 1]), m.start() + 1
+            continue
+        code, at = more(code, text[at : m.start()]), m.end()
+        if m["q"] is None:
             continue
-        at, s = m.end(), m["s"]
+        yield m["q"], m["s"], code.rstrip()
+        code = (code + m["q"] + m["s"][-_CALL:] + m["q"])[-2 * _CALL :]
+
+
+def script_calls(text: str) -> list[tuple[str, str]]:
+    """(endpoint, type) in order, each once; lines, literals and gaps of any length."""
+    out: dict[tuple[str, str], None] = {}
+    settings = False  # whether the latest braces opened are those of a request's settings
+    for quote, s, before in _skeleton(text):
         if not s:
             continue
-        if m["q"] == "`":
+        if quote == "`":
             s = re.sub(r"\$\{[^}]*\}", "EXPR", s)
-        before = text[max(0, m.start() - 120) : m.start()]
-        kind = next((k for k, p in _KINDS if p.search(before)), None)
+        last = before[-1:]
+        kind = next((k for k, p in _KINDS if p.search(before[-_CALL:])), None) if last in _LAST or before.endswith(("import", "from")) else None
+        opened = None
+        if "$." in before:
+            for opened in _SETTINGS.finditer(before):
+                settings = True
+        if settings and "})" in before[opened.end() if opened else 0 :]:
+            settings = False
+        if kind is None and settings and last == ":" and _URL_KEY.search(before):
+            kind = "jquery"
         if kind is None and not (_PATH.match(s) and " " not in s):
             continue
         out[s, kind or "url"] = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -157,6 +158,47 @@ def with_scheme(u: Column | str) -> Column:
 
 
 LONGEST, LEAST_SEQUENCE, MOST_REPEATS = 2_097_152, 10, 10
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
+
+
+def back_to_back(text: str, least: int, most: int) -> bool:
+    """Whether a stretch longer than ``least``, of any length, stands ``most`` times or more in a row.
+
+    A run of ``most`` stretches of length p covers most - 1 whole blocks that start at multiples of p, all equal.
+    Blocks are compared by polynomial hashes, runs that are found are compared as text.
+    """
+    n = len(text)
+    if n <= least * most:
+        return False
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    power = _powers(n)
+    # hash of text[i:j] times base^(n-j): sums of code x base^(n-1-k), so equal blocks differ by a power of the base
+    sums = np.r_[np.uint64(0), np.cumsum(codes * power[n - 1 :: -1][:n], dtype=np.uint64)]
+    for p in range(least + 1, n // most + 1):
+        at = np.arange(0, n - p + 1, p)
+        block = (sums[at + p] - sums[at]) * power[at]
+        same = block[1:] == block[:-1]
+        if same.sum() < most - 2:
+            continue
+        run = 0
+        for k, x in enumerate(same.tolist()):
+            run = run + 1 if x else 0
+            if run >= most - 2:
+                i = int(at[k + 1]) - run * p
+                j = int(at[k + 1]) + p
+                if text[i : j - p] != text[i + p : j]:  # only the hashes were equal
+                    continue
+                while i > 0 and text[i - 1] == text[i - 1 + p]:
+                    i -= 1
+                while j < n and text[j] == text[j - p]:
+                    j += 1
+                if j - i >= most * p:
+                    return True
+    return False
 
 
 def repeats(text: str, least: int = LEAST_SEQUENCE, most: int = MOST_REPEATS) -> bool:
@@ -167,7 +209,7 @@ def repeats(text: str, least: int = LEAST_SEQUENCE, most: int = MOST_REPEATS) ->
     """
     if len(text) <= least * most:
         return False
-    if re.search(r"(.{%d,200}?)\1{%d,}" % (least + 1, most - 1), text, re.S):
+    if back_to_back(text, least, most):
         return True
     parts = text.split("/")
     for k in (1, 2, 3):

@@ -30,6 +30,10 @@ NESTED = {
     ("table", "td"): (("background", "table", "td-background"),),
     ("video", "track"): (("src", "video", "track-src"),),
 }
+#: Ancestors that ``NESTED`` and the rules below ask for.
+OVER = ("audio", "object", "svg", "table", "video")
+#: Elements that a sibling of their kind closes.
+IMPLIED = frozenset("li p td tr th option dt dd".split())
 HTMX = ("hx-get", "hx-post", "hx-put", "hx-patch")
 
 
@@ -42,15 +46,33 @@ class Flags:
     fill_forms: bool = False
 
 
+class Later(str):
+    """Text whose endpoints are still to be found; a batch's texts are searched by one call."""
+
+
+def settled(pages: list[list[tuple]]) -> list[list[tuple]]:
+    """The links of several pages, each text of endpoints replaced by its endpoints, in place."""
+    texts = [x[0] for p in pages for x in p if isinstance(x[0], Later)]
+    if not texts:
+        return pages
+    found = iter(tx.endpoints_of(texts))
+    return [[y for x in p for y in ([(u, *x[1:]) for u in next(found)] if isinstance(x[0], Later) else (x,))] for p in pages]
+
+
 def markup_links(html: str, flags: Flags = Flags(), extra: Callable | None = None) -> list[tuple]:
     """(ref, tag, attribute, method, body) of a page's markup, in page order.
 
     Empty attributes give nothing.  A data: image is passed over together with its
     srcset; base is a link but resolves nothing; htmx attributes give one link each.
     """
+    return settled([_markup_links(html, flags, extra)])[0]
+
+
+def _markup_links(html: str, flags: Flags, extra: Callable | None = None) -> list[tuple]:
     out: list[tuple] = []
     add = lambda ref, tag, attr, method="GET": out.append((ref, tag, attr, method, None)) if ref else None
-    open_: list[str] = []
+    stack: list[str] = []  # of open elements, and how many of each there are
+    open_: dict[str, int] = {}
     first = True
     for t in tokens(html):
         kind = t[0]
@@ -63,7 +85,7 @@ def markup_links(html: str, flags: Flags = Flags(), extra: Callable | None = Non
             first = False
             name, a, closed = t[1], t[2], t[3]
             for attr in FLAT.get(name, ()):
-                if name == "script" and "svg" in open_:
+                if name == "script" and open_.get("svg"):
                     continue
                 add(a.get(attr), name, attr)
             if name == "img":
@@ -81,29 +103,32 @@ def markup_links(html: str, flags: Flags = Flags(), extra: Callable | None = Non
             elif name == "input" and a.get("type", "").lower() == "image":
                 add(a.get("src"), "input-image", "src")
             elif name == "iframe" and a.get("srcdoc"):
-                for u in tx.relative_endpoints(a["srcdoc"]):
-                    add(u, "iframe", "srcdoc")
+                add(Later(a["srcdoc"]), "iframe", "srcdoc")
             elif name == "meta" and a.get("content"):
-                for u in tx.relative_endpoints(a["content"]):
-                    add(u, "meta", "refresh")
-            elif name == "source" and "audio" in open_:
+                add(Later(a["content"]), "meta", "refresh")
+            elif name == "source" and open_.get("audio"):
                 for u in tx.srcset(a.get("srcset", "")):
                     add(u, "audio", "sourcesrcset")
-            for over in set(open_):
-                for attr, tag, label in NESTED.get((over, name), ()):
-                    add(a.get(attr), tag, label)
+            for over in OVER:
+                if open_.get(over):
+                    for attr, tag, label in NESTED.get((over, name), ()):
+                        add(a.get(attr), tag, label)
             if a.keys() & set(HTMX):
                 for attr in HTMX:
                     add(a.get(attr), "htmx", attr, attr[3:].upper())
             if name not in VOID and not closed:
-                open_.append(name)
+                if name in IMPLIED and stack and stack[-1] == name:
+                    continue
+                stack.append(name)
+                open_[name] = open_.get(name, 0) + 1
         elif kind == "end":
-            if t[1] in open_:
-                del open_[len(open_) - 1 - open_[::-1].index(t[1]) :]
+            if open_.get(t[1]):
+                while (gone := stack.pop()) != t[1]:
+                    open_[gone] -= 1
+                open_[gone] -= 1
         elif kind == "raw":
             if t[1] == "script" and flags.scripts and t[2].strip():
-                for u in tx.relative_endpoints(t[2]):
-                    add(u, "script", "text")
+                add(Later(t[2]), "script", "text")
     if extra is not None:
         out += extra(html)
     return out
@@ -129,23 +154,29 @@ def _script_file(url: str | None, content_type: str | None) -> bool:
     return path.endswith((".js", ".css")) or "/javascript" in (content_type or "")
 
 
-def _page_links(flags: Flags):
+def _page_links(flags: Flags, extra: Callable | None, fill: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from gossamer.operators.forms import filled_forms
 
         for b in batches:
-            rows: list[tuple] = []
+            pages: list[tuple[str, list[tuple]]] = []
+            bodies: list[str] = []
             for url, kind, body in zip(*(c.to_pylist() for c in b.columns)):
                 if not url or not body:
                     continue
-                found = markup_links(body, flags)
+                found = _markup_links(body, flags, extra)
                 if flags.fill_forms:
-                    found += filled_forms(body, url)
+                    found += filled_forms(body, url, fill)
                 if flags.scripts:
                     if _script_file(url, kind):
-                        found += [(u, "js", "regex", "GET", None) for u in tx.relative_endpoints(body)]
-                    found += [(u, "html", "regex", "GET", None) for u in tx._distinct(tx.find_all([body], tx.BODY_ENDPOINT, 1))[0]]
-                rows += [(url, resolve(url, ref), ref, tag, attr, method, text, k) for k, (ref, tag, attr, method, text) in enumerate(found)]
+                        found.append((Later(body), "js", "regex", "GET", None))
+                    bodies.append(body)
+                pages.append((url, found))
+            links = settled([p for _, p in pages])
+            if bodies:
+                for p, more in zip(links, tx.distinct_each(tx.find_all(bodies, tx.BODY_ENDPOINT, 1))):
+                    p += [(u, "html", "regex", "GET", None) for u in more]
+            rows = [(url, resolve(url, ref), ref, tag, attr, method, text, k) for (url, _), p in zip(pages, links) for k, (ref, tag, attr, method, text) in enumerate(p)]
             cols = list(zip(*rows)) if rows else [[]] * 8
             kinds = [pa.string()] * 7 + [pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["source", "url", "ref", "tag", "attribute", "method", "body", "position"])
@@ -153,14 +184,17 @@ def _page_links(flags: Flags):
     return run
 
 
-def page_links(pages: DataFrame, flags: Flags = Flags()) -> DataFrame:
+def page_links(pages: DataFrame, flags: Flags = Flags(), extra: Callable | None = None, fill: object = None) -> DataFrame:
     """(source, url, ref, tag, attribute, method, body, position) of every link of (url, headers, body) pages.
 
+    ``extra`` is an extractor of your own that is run with the built-in ones: markup -> [(ref, tag, attribute, method,
+    body)]; ``fill`` holds the values put into forms (``forms.FormFill``).
+
     ``url`` is '' for references that give none (fragments, broken ones).  Null urls and
     empty bodies give no markup links; null headers no header links.
     """
     kind = tx.lower_keys(F.col("headers"))["content-type"]
-    markup = pages.select("url", kind.alias("kind"), "body").mapInArrow(_page_links(flags), "source string, url string, ref string, tag string, attribute string, method string, body string, position int")
+    markup = pages.select("url", kind.alias("kind"), "body").mapInArrow(_page_links(flags, extra, fill), "source string, url string, ref string, tag string, attribute string, method string, body string, position int")
     h = pages.select(F.col("url").alias("source"), F.posexplode(header_links(F.col("headers"), flags.redirects)).alias("p", "l"))
     from gossamer.functions.url import abs_url
 
@@ -183,7 +217,7 @@ def user_links(pages: DataFrame, extractor: Callable[[str, str], list[tuple]]) -
 def script_links(pages: DataFrame) -> DataFrame:
     """(source, url, ref, tag, attribute): endpoints of script files and script elements by the call they stand in.
 
-    Files of well-known libraries are passed over.
+    Files that name themselves as a published library are passed over (``text.is_common_library``).
     """
     from gossamer.functions.scripts import script_calls
 
@@ -202,8 +236,7 @@ def script_links(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["source", "url", "ref", "tag", "attribute"])
 
     kind = tx.lower_keys(F.col("headers"))["content-type"]
-    path = F.regexp_replace("url", r"[?#].*$", "")
-    return pages.select("url", kind.alias("kind"), tx.is_common_library(path).alias("library"), "body").mapInArrow(run, "source string, url string, ref string, tag string, attribute string")
+    return pages.select("url", kind.alias("kind"), tx.is_common_library(F.col("body")).alias("library"), "body").mapInArrow(run, "source string, url string, ref string, tag string, attribute string")
 
 
 def rendered_links(pages: DataFrame, flags: Flags = Flags()) -> DataFrame:

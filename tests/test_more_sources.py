@@ -76,7 +76,7 @@ def test_script_calls(spark):
     assert scripts.script_calls(JS) == [
         ("/api/a", "fetch"), ("/api/b", "xhr"), ("c/d.php", "jquery"), ("/api/e", "jquery"), ("/next", "location"), ("/user/EXPR", "location"), ("./m.js", "import"), ("/static/img", "url"), ("https://h.example/p?q=1", "url"),
     ]
-    pages = spark.createDataFrame([("https://a.example/app.js", None, JS), ("https://a.example/jquery.min.js", None, JS), ("https://a.example/", None, "<script>fetch('/in')</script>"), (None, None, None)], "url string, headers map<string,string>, body string")
+    pages = spark.createDataFrame([("https://a.example/app.js", None, JS), ("https://a.example/jquery.min.js", None, "/*! jQuery v3.7.1 | (c) someone */" + JS), ("https://a.example/", None, "<script>fetch('/in')</script>"), (None, None, None)], "url string, headers map<string,string>, body string")
     got = extract.script_links(pages).collect()
     assert len(got) == 10 and ("https://a.example/", "https://a.example/in", "script", "call-fetch") in {(r.source, r.url, r.tag, r.attribute) for r in got}
     assert spark.createDataFrame([(JS,), (None,)], "t string").select(F.size(scripts.calls(F.col("t")))).collect()[1][0] == 0

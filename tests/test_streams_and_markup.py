@@ -1,7 +1,11 @@
 import sys
+import time
+
+import pytest
 
 from gossamer.functions import markup as mk
 from gossamer.functions.html import tokens
+from gossamer.operators import extract
 from gossamer.streaming import links
 
 
@@ -50,3 +54,20 @@ def test_entry_has_a_query_for_each_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("part", ["a <b ", "<script ", "<script>", "<!--", "</script ", "<p>x", "<li>", "<a b=\"", "<td x='y' "])
+def test_markup_passes_are_linear(part):
+    page = part * (4 * 2**20 // len(part))
+    began = time.monotonic()
+    mk.visible_lines(page)
+    assert time.monotonic() - began < 4
+    began = time.monotonic()
+    extract.markup_links(part * (2**19 // len(part)))
+    assert time.monotonic() - began < 8
+
+
+def test_elements_are_cut_at_their_first_end():
+    cut = lambda t, **k: mk.sub_elements(lambda name, whole, inner: f"[{name}:{inner}]", t, ("nav", "pre"), **k)
+    assert cut("a<nav x>b<pre>c</nav>d</pre>") == "a[nav:b<pre>c]d</pre>" and cut("<pre>x", to_end=False) == "<pre>x" and cut("<pre>x") == "[pre:x]"
+    assert cut("<nav <pre>y</pre>") == "[nav:y</pre>]" and cut("<nav", comments=True) == "<nav" and cut("<!--z", comments=True) == "[:z]"

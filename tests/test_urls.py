@@ -135,3 +135,9 @@ def test_store_path_and_keys(spark):
     r = one(spark, ur.store_path("url"), ur.request_key(F.lit("POST"), "url", F.lit("a=1")), ur.request_key(F.lit("PUT"), "url", F.lit(None)), ur.request_key(F.lit(None).cast("string"), "url", F.lit(None)))
     assert r[0].startswith("policies.weavers.co.uk_8443/") and r[0].endswith(".txt") and len(r[0].split("/")[1]) == 44
     assert r[1] == URL + ":a=1" and r[2] == "PUT:" + URL and r[3] == URL
+
+
+def test_back_to_back_stretches_of_any_length():
+    block = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(90))
+    assert len(block) > 250 and ur.repeats("https://a.example/?" + block * 12) and not ur.repeats("https://a.example/?" + block * 9)
+    assert not ur.back_to_back("ab" * 4, 2, 5) and ur.back_to_back("xabcabcabcab", 2, 3) and not ur.back_to_back("xabcabcab", 2, 3)
