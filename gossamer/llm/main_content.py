@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.functions.markup import HIDDEN, TAG, _keep_breaks, collapse, page_text
+from gossamer.functions.markup import TAG, collapse, page_text, sub_tags, without_hidden
 
 PATHS, WORDS, PATH_DIM, WORD_DIM, SHAPE, HIDDEN_DIM = 1024, 4096, 16, 24, 16, 24
 WEIGHTS = Path(__file__).with_name("main_content.npz")
@@ -84,7 +84,7 @@ def leaves(text: str) -> tuple[list[int], list[str], list[list[int]], list[list[
     title = collapse(TAG.sub(" ", m[1])).lower() if m else ""
     tagged = "<" in text
     if tagged:
-        text = TAG.sub(_whole_tags, HIDDEN.sub(_keep_breaks, text))
+        text = sub_tags(_whole_tags, without_hidden(text))
     nos, texts, paths, words, shapes = [], [], [], [], []
     stack: list[tuple[str, tuple[str, ...]]] = []
     gap, seen = 1, set()

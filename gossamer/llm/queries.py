@@ -15,6 +15,7 @@ QUERIES = {
     "p4_found": lambda s, d: residue.found(table(s, d, "responses")),
     "p4_scores": lambda s, d: residue.judged(table(s, d, "responses")),
     "p7_found": lambda s, d: near_copies.found(table(s, d, "responses")),
+    "p7_trees": lambda s, d: near_copies.tree_figures(table(s, d, "responses")),
     "p7_groups": lambda s, d: near_copies.near_groups(table(s, d, "responses")),
     "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
     "p10_found": lambda s, d: abuse.found(table(s, d, "documents"), table(s, d, "abuse_examples")),

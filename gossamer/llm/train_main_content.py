@@ -17,7 +17,7 @@ import time
 
 import numpy as np
 
-from gossamer.functions.markup import HIDDEN, TAG, _keep_breaks, collapse, page_text, site_of
+from gossamer.functions.markup import TAG, collapse, page_text, site_of, without_hidden
 from gossamer.llm.main_content import HIDDEN_DIM, PATH_DIM, PATHS, SHAPE, TITLE, WEIGHTS, WORD_DIM, WORDS, Labeller, leaves, run_lstm, sigmoid
 
 PAGES, ROUNDS, BATCH, RATE, SEED = 8000, 5, 48, 4e-3, 7
@@ -51,7 +51,7 @@ def labels(text: str) -> dict[int, int]:
     """1 or 0 for the visible lines whose place is clear."""
     m = TITLE.search(text)
     title = collapse(TAG.sub(" ", m[1])).lower() if m else None
-    raw = HIDDEN.sub(_keep_breaks, text).split("\n") if "<" in text else text.split("\n")
+    raw = without_hidden(text).split("\n") if "<" in text else text.split("\n")
     seen = [collapse(TAG.sub(" ", x)) for x in raw]
     block, at, depth = [0] * len(raw), 0, []
     for n, x in enumerate(raw):  # blocks: lines between an opening-only line and the next closing one

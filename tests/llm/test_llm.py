@@ -269,7 +269,7 @@ def brute_near(rows):
     return {(find(i), i) for i in ids if find(i) != i}
 
 
-@pytest.mark.parametrize("small,tree", [(16, 256), (2, 8)])
+@pytest.mark.parametrize("small,tree", [(64, 256), (16, 256), (2, 8)])
 def test_near_groups(spark, small, tree):
     rows = near_rows()
     got = near_copies.near_groups(responses(spark, rows), small=small, tree=tree).collect()
@@ -277,18 +277,21 @@ def test_near_groups(spark, small, tree):
     assert all(r.links > 0 for r in got)
 
 
-def test_pages_of_one_site_that_share_their_menus_meet():
-    rng = np.random.default_rng(3)
-    levels = np.zeros(near_copies.COUNTERS, np.uint8)
-    menu = rng.integers(0, 1 << 31, 100).astype(np.int32)
-    levels[menu.view(np.uint32) & np.uint32(near_copies.COUNTERS - 1)] = 5
-    met = 0
-    for _ in range(100):  # 200 sequences each: 100 of the menus, 37 of their own in common; near at 137 / 263 = 0.52, on the rest at 37 / 163
-        own = rng.integers(0, 1 << 31, 163).astype(np.int32)
-        a, b = (near_copies.signatures(np.concatenate([menu, x]), levels) for x in (own[:100], own[63:]))
-        bands = lambda x: {(i, *x[i * near_copies.BAND :][: near_copies.BAND]) for i in range(near_copies.BANDS)}
-        met += any(bands(x) & bands(y) and (x != y).sum() <= near_copies.RADIUS for x in a for y in b)
-    assert met >= 97
+def test_pages_that_share_half_of_their_text_meet(spark):
+    """320 pages that all carry one block of 200 words; recall by full comparison of all pairs."""
+    rng = random.Random(7)
+    block = [rng.choice(VOCABULARY) for _ in range(200)]
+    rows, want = [], set()
+    for i in range(100):
+        own = [f"x{rng.randrange(10**9)}" for _ in range(200)]
+        other = own[: rng.randrange(70, 130)]
+        for k, words in enumerate((own, other + [f"y{rng.randrange(10**9)}" for _ in range(200 - len(other))])):
+            at = rng.randrange(0, 200)
+            rows.append((2 * i + k, 200, "<p>" + " ".join(block[at:] + words + block[:at]) + "</p>"))
+    rows += [(1000 + i, 200, "<p>" + " ".join(block + [f"z{rng.randrange(10**9)}" for _ in range(200)])) for i in range(120)]
+    want = brute_near(rows)
+    got = {(r.response_id, r.near_id) for r in near_copies.found(responses(spark, rows)).collect()}
+    assert len(want) > 60 and len(got & want) >= 0.99 * len(want) and got <= want
 
 
 def test_near_edges(spark):
