@@ -47,6 +47,8 @@ SEQUENCE, LEAST_WORDS, SIMILARITY = 3, 60, 0.5
 PLACES, BAND, BANDS, RADIUS = 108, 3, 36, 72
 #: Members of a shard that one tree takes in; larger ones are hot.  Members of one tree of a pair of blocks.
 SMALL, TREE = 64, 256
+#: Rows of shards that one task takes.
+PART_ROWS = 250_000
 #: Words a task keeps the hashes of.
 KEPT = 500_000
 
@@ -287,16 +289,26 @@ def _sizes(rows: DataFrame, name: str) -> DataFrame:
     return stage(g.filter("low < high").select("band", "n", "low"), name)
 
 
-def _tree_shards(rows: DataFrame, sizes: DataFrame, small: int) -> DataFrame:
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """(band, id, n, low) of the rows whose shard has two members or more; only ids and keys are moved."""
+    keys = rows.select("band", "id")
+    sizes = _sizes(keys, name + "_sizes")
+    out = stage(keys.join(maybe_broadcast(sizes), "band"), name)
+    release(sizes)
+    return out
+
+
+def _tree_shards(shared: DataFrame, signed: DataFrame, small: int) -> DataFrame:
     """(band, id, sig) of the shards that one tree takes in, laid out shard by shard."""
-    shared = rows.join(maybe_broadcast(sizes.filter(F.col("n") <= small).select("band")), "band", "left_semi").select("band", "id", "sig")
-    return shared.repartition("band").sortWithinPartitions("band", "id")
+    members = shared.filter(F.col("n") <= small)
+    parts = max(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // PART_ROWS)
+    return members.select("band", "id").join(signed.select("id", "sig"), "id").select("band", "id", "sig").repartition(parts, "band").sortWithinPartitions("band", "id")
 
 
-def _hot(rows: DataFrame, sizes: DataFrame, small: int, name: str) -> DataFrame | None:
-    """The rows of the other shards with their shard's smallest id, or None where there are none."""
-    big = sizes.filter(F.col("n") > small).select("band", "low")  # at most rows x bands / small of them
-    return None if big.isEmpty() else stage(rows.join(maybe_broadcast(big), "band"), name)
+def _hot(shared: DataFrame, small: int) -> DataFrame | None:
+    """(band, id, low) of the other shards, or None where there are none."""
+    big = shared.filter(F.col("n") > small).select("band", "id", "low")
+    return None if big.isEmpty() else big
 
 
 def _to_lowest(hot: DataFrame) -> DataFrame:
@@ -321,31 +333,30 @@ def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: i
     The links of small shards are complete; those of larger shards span their components.
     """
     reps, member, signed = _prepared(responses, sequence, least_words)
-    rows = signed.select("id", "sig", "finer", F.explode("bands").alias("band"))
-    sizes = _sizes(rows, "shards")
-    pairs = _tree_shards(rows, sizes, small).mapInArrow(_shards(radius), "a bigint, b bigint")
-    hot, finer, still = _hot(rows, sizes, small, "hot"), None, None
+    shared = _shared(signed.select("id", F.explode("bands").alias("band")), "shards")
+    pairs = _tree_shards(shared, signed, small).mapInArrow(_shards(radius), "a bigint, b bigint")
+    hot, finer, still = _hot(shared, small), None, None
     if hot is not None:
-        cut = hot.select("id", "sig", F.explode(F.transform("finer", lambda x, i: F.xxhash64("band", x, i))).alias("band"))
-        finer = _sizes(cut, "finer")
-        pairs = pairs.unionByName(_to_lowest(hot)).unionByName(_tree_shards(cut, finer, small).mapInArrow(_shards(radius), "a bigint, b bigint"))
-        still = _hot(cut, finer, small, "still")
+        cut = hot.join(signed.select("id", "finer"), "id").select("id", F.explode(F.transform("finer", lambda x, i: F.xxhash64("band", x, i))).alias("band"))
+        finer = _shared(cut, "finer")
+        pairs = pairs.unionByName(_to_lowest(hot)).unionByName(_tree_shards(finer, signed, small).mapInArrow(_shards(radius), "a bigint, b bigint"))
+        still = _hot(finer, small)
         if still is not None:
             pairs = pairs.unionByName(_to_lowest(still))
     pairs = stage(pairs.distinct(), "pairs")
     links = stage(_verified(pairs, reps, similarity), "links")
     if still is not None:
-        more = _between_components(still.select("band", "id", "sig"), reps, links, tree, radius, similarity)
+        more = _between_components(still.join(signed.select("id", "sig"), "id").select("band", "id", "sig"), reps, links, tree, radius, similarity)
         links = stage(links.unionByName(more).distinct(), "links")
-    release(signed, sizes, pairs, hot, finer, still)
+    release(signed, shared, pairs, finer)
     return links, member
 
 
 def tree_figures(responses: DataFrame, small: int = SMALL, radius: int = RADIUS) -> DataFrame:
     """(members, visited): members that the shards' trees held at the lookups, and those that were compared."""
     _, _, signed = _prepared(responses, SEQUENCE, LEAST_WORDS)
-    rows = signed.select("id", "sig", F.explode("bands").alias("band"))
-    g = _tree_shards(rows, _sizes(rows, "shards"), small).mapInArrow(_shards(radius, True), "a bigint, b bigint")
+    shared = _shared(signed.select("id", F.explode("bands").alias("band")), "shards")
+    g = _tree_shards(shared, signed, small).mapInArrow(_shards(radius, True), "a bigint, b bigint")
     return g.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("members"), F.coalesce(F.sum("b"), F.lit(0)).alias("visited"))
 
 
