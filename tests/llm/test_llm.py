@@ -1,7 +1,7 @@
 import os
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from urllib.parse import unquote
 
 import numpy as np
@@ -407,30 +407,143 @@ def test_abuse(spark):
     assert abuse.found(df.limit(0), ex.limit(0)).count() == 0
 
 
+def examples():
+    path = "/root/testdata/sf0.01/abuse_examples.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the test tables")
+    import pyarrow.parquet as pq
+
+    return [(r["text"], r["label"], r["category"]) for r in sorted(pq.read_table(path).to_pylist(), key=lambda r: r["example_id"])]
+
+
+def fitted(rows):
+    clean = abuse.clean_words(rows)
+    return abuse.Scorer(abuse.fit(rows, clean), clean)
+
+
 def test_plain_insults_are_cases():
-    scorer = abuse.Scorer()
+    scorer = abuse.Scorer(None, frozenset(["whole", "lover"]))  # words that many documents hold
     for t in ("You are a moron.", "You asshole.", "You are an idiot.", "You're such a loser!", "Fuck you.", "Du bist ein Arschloch.", "Tu es un connard.", "Eres una puta.", "You are an idoit.", "You are a mroon.", "You bitch."):
         assert scorer.score(t)[0] >= abuse.CASE, t
-    for t in ("You are not a moron.", "If you pig out, you rat on them.", 'He said "you are a moron".', "The court heard that you are an idiot.", "You saw the worm in the garden.", "You are a lover of boats.", "You trust the whole crew."):
+    for t in ("If you pig out, you rat on them.", 'He said "you are a moron".', "The court heard that you are an ass.", "You saw the worm in the garden.", "You are a lover of boats.", "You trust the whole crew."):
         assert scorer.score(t)[0] < abuse.CASE, t
 
 
-def test_learned_sequences_generalise_to_held_out_examples(spark):
-    path = "/root/testdata/sf0.01/abuse_examples.parquet"
-    if not os.path.exists(path):
-        pytest.skip("needs the test tables")
-    rows = [tuple(r) for r in spark.read.parquet(path).orderBy("example_id").select("text", "label", "category").collect()]
-    model = abuse.Scorer(*abuse.learn(rows[::2]))
-    right = sum((model.score(t)[0] >= abuse.CASE) == bool(y) for t, y, _ in rows[1::2])
-    assert right / len(rows[1::2]) > 0.97
+UNSEEN_BAD = [
+    'Those people are cockroaches and should be exterminated.',
+    'Kill all of them, they are not human.',
+    'You filthy degenerate, I will murder you.',
+    'You are a fukcing idito.',
+    "I'm going to stab you tonight.",
+    'Nobody likes you, you pathetic lowlife.',
+    'You people should all be gassed.',
+    'What a bunch of brainless pigs you are.',
+    'Go hang yourself, you creep.',
+    'Those migrants are parasites and must be deported.',
+    'You stinking motherfukcer!',
+    'I hope someone shoots you.',
+    'Shut up, you lying weasel.',
+    'He wants to see your tits, you slut.',
+    'Hardcore gangbang porn with horny sluts.',
+    'Du bist ein elendes Arschloch.',
+    "Ferme-la, sale conne, espèce d'abruti.",
+    'Eres un pendejo asqueroso.',
+    'They breed like rats and must be wiped out.',
+    'You are too stupid to live.',
+    'You m0r0n, drop d3ad.',
+    'You w o r t h l e s s scumbag!',
+    'We will burn your house down with your kids inside, you bastrad.',
+]
+UNSEEN_FINE = [
+    'The exterminator removed rats from the barn.',
+    'Please kill the process and restart the server.',
+    'The study asked whether immigrants are called parasites in the press.',
+    'The naked eye can see the comet.',
+    'You should hang the picture higher.',
+    'I hope you enjoy your stay with us.',
+    'Breast cancer screening is free for women over fifty.',
+    'The pig farm burned down; the family escaped.',
+    'She wrote that "you are an idiot" is not an argument.',
+    'The coach said they will crush the opposition next week.',
+    'Sick leave rules for employees changed.',
+    'The wet floor was dirty and the dog barked.',
+    'They drove the cattle out of the field.',
+    'Dirty dishes go into the left basin.',
+    'Do you have a spare key for the back door?',
+    'The villain in the novel says he will murder the king.',
+    'Your fat intake should be below thirty percent.',
+    'How to drown out traffic noise at night.',
+    'The clause states that you must not harm the animals.',
+    'Die Ratten im Keller wurden vom Kammerjäger gefangen.',
+]
+
+
+def test_wording_that_no_example_holds():
+    scorer = fitted(examples())
+    hit = [scorer.score(t)[0] >= abuse.CASE for t in UNSEEN_BAD]
+    wrong = [scorer.score(t)[0] >= abuse.CASE for t in UNSEEN_FINE]
+    assert sum(hit) / len(hit) >= 0.9 and sum(hit) / (sum(hit) + sum(wrong)) >= 0.9
+
+
+def misspelt(rng, word):
+    i = rng.randrange(1, len(word) - 1)
+    return rng.choice([word[:i] + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + rng.choice("aeiourst") + word[i + 1 :], word[:i] + rng.choice("aeiourst") + word[i:]])
+
+
+def test_held_out_examples_plain_and_misspelt():
+    """Fitted on every other example; the others as they are, and with an edit in each term of five letters or more."""
+    rows = examples()
+    scorer = fitted(rows[::2])
+    exact = abuse.Scorer(scorer.fitted, scorer.ordinary)
+    exact.allowed = exact.allowed * 0
+    rng = random.Random(11)
+    terms = abuse.lexicon()[0]
+    plain, spelt, without = Counter(), Counter(), Counter()
+    for t, y, _ in rows[1::2]:
+        odd = re.sub(r"[a-zA-Z]{5,}", lambda m: misspelt(rng, m[0]) if m[0].lower() in terms else m[0], t)
+        for count, model, text in ((plain, scorer, t), (spelt, scorer, odd), (without, exact, odd)):
+            count[bool(y), bool(model.score(text)[0] >= abuse.CASE)] += 1
+    for c in (plain, spelt):
+        assert c[True, True] / (c[True, True] + c[True, False]) >= 0.9 and c[True, True] / (c[True, True] + c[False, True]) >= 0.9
+    assert without[True, True] < spelt[True, True]  # what the edits of the automaton find
+
+
+def edits(a, b):
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_trie_automaton():
     t = abuse.Trie(["idiot", "worthless", "rat"])
-    assert t.match("idiot", 0) == ("idiot", 0, False)
-    assert t.match("1d10t", 0)[0] == "idiot" and t.match("i***t", 0)[0] == "idiot" and t.match("iiidioot", 0)[0] == "idiot"
-    assert t.match("idoit", 1) is None and t.match("idiott", 0)[0] == "idiot" and t.match("wrthless", 1)[:2] == ("worthless", 1)
-    assert t.match("bird", 0) is None
+    assert t.match("idiot", 0) == ("idiot", 0)
+    for odd in ("1d10t", "i***t", "iiidioot", "i" + "d" * 5000 + "iot", "id!ooooot"):
+        assert t.match(odd, 0) == ("idiot", 0), odd
+    assert t.match("idoit", 0) is None and t.match("idoit", 1) == ("idiot", 1) and t.match("wrthless", 1) == ("worthless", 1) and t.match("wrthlss", 2) == ("worthless", 2)
+    assert t.match("bird", 0) is None and t.match("*" * 100_000, 2) is None
+
+
+def test_trie_automaton_against_the_edit_distance():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(3, 7))) for _ in range(12)]
+    trie = abuse.Trie(words)
+    for _ in range(400):
+        w = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 8)))
+        if re.search(r"(.)\1\1", w):
+            continue
+        near = min(edits(w, x) for x in words)
+        for k in (0, 1, 2):
+            got = trie.match(w, k)
+            assert (got is None) == (near > k) and (got is None or got[1] == near == edits(w, got[0])), (w, k, got)
+
+
+def test_misspellings_that_many_documents_hold_are_words_of_their_own(spark):
+    df = documents(spark, [(i, "the idiom of page %d" % i if i < 30 else "a mroon there", None) for i in range(34)])
+    assert abuse.ordinary_words(df, frozenset(), 20) == {"idiom"}
 
 
 def test_all_dealt_problems_are_registered():
