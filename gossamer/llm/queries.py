@@ -21,6 +21,7 @@ QUERIES = {
     "p10_found": lambda s, d: abuse.found(table(s, d, "documents"), table(s, d, "abuse_examples")),
     "p10_scores": lambda s, d: abuse.scores(table(s, d, "documents"), table(s, d, "abuse_examples")),
     "p10_rates": lambda s, d: abuse.rates(table(s, d, "documents"), table(s, d, "abuse_examples")),
+    "p9_generations": lambda s, d: packing.generations(table(s, d, "documents")),
     "p9_pack": lambda s, d: packing.pack(table(s, d, "documents")),
 }
 

@@ -373,15 +373,36 @@ def test_packing(spark, block, islands):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, pack()))
 
 
-def test_crossover_beats_its_parents_or_keeps_them():
+def test_evolution_keeps_every_item_and_never_gets_worse():
     rng = np.random.default_rng(1)
     sizes = [int(x) for x in rng.integers(20, 70, 200)]
     pop = [packing._start(np.array(sizes), 100, rng, 0.5) for _ in range(4)]
-    out = packing.evolve(pop, sizes, 100, 10, rng)
-    assert len(out[0]) <= min(len(p) for p in pop)
+    out, made = packing.evolve(pop, sizes, 100, 10, rng)
+    assert made == 10 and len(out[0]) <= min(len(p) for p in pop)
     assert all(sorted(i for b in p for i in b) == list(range(200)) and max(sum(sizes[i] for i in b) for b in p) <= 100 for p in out)
 
 
+@pytest.mark.parametrize("low,high", [(300, 600), (250, 500)])
+def test_evolution_needs_fewer_containers_than_best_fit_decreasing(spark, low, high):
+    """Items of a quarter to six tenths of the capacity, which best-fit decreasing packs badly."""
+    rng = random.Random(low)
+    sizes = {i: rng.randrange(low, high) for i in range(900)}
+    bins: list = []
+    packing.best_fit(sorted(sizes, key=lambda i: -sizes[i]), sizes, 1000, bins, [])
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n long")
+    rows = packing.pack_sizes(df, 1000).collect()
+    assert check_packing(rows, sizes, 1000) < len(bins)
+    again = packing.pack_sizes(df.repartition(7), 1000).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_evolution_runs_on_the_documents(spark):
+    if not os.path.exists("/root/testdata/sf0.01"):
+        pytest.skip("needs the test tables")
+    rows = packing.generations(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert sum(r.crossovers for r in rows) > 0 and all(r.bound <= r.bins <= r.start for r in rows)
+
+
 def test_packing_edges(spark):
     df = documents(spark, [(1, None, "s"), (2, "", "s"), (3, "a b c " * 3000, None), (4, "one", "s")])
     rows = packing.pack(df).collect()
