@@ -215,6 +215,57 @@ def test_headings_that_repeat_the_title_are_judged():
     assert index.judge(page("Not found", f"<p>{SENTENCE}</p>"))[1] is None
 
 
+UNSEEN_RESIDUE = [
+    "Error 404. This document does not exist on our server.",
+    "Please turn on JavaScript in your browser settings to use this site.",
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip.",
+    "The page you wanted has been moved or deleted.",
+    "Sorry, an unexpected error occurred. Please try again later.",
+    "Access to this page has been denied because you are not authorized.",
+    "This website is under construction. Coming soon!",
+    "We are currently down for scheduled maintenance. Please try again later.",
+    "Your browser has JavaScript disabled. Please enable it and reload.",
+    "Add your own text here.",
+    "The server is temporarily unavailable. Please try again in a few minutes.",
+    "You must enable cookies and JavaScript to continue.",
+    "Oops! That page can't be found.",
+    "Die gesuchte Seite existiert nicht. Ein Fehler ist aufgetreten.",
+    "Your balance is {{ account.balance }} today, *|FNAME|*.",
+]
+UNSEEN_REAL = [
+    "The library found the page in a book that was missing since 1904.",
+    "The committee will continue to view the site until the server room is rebuilt.",
+    "Our harbour was under construction for nine years before the first boat came in.",
+    "JavaScript was written in ten days in 1995; it is not related to Java.",
+    "A 404 is what a server says when nothing lies at the address that was asked for.",
+    "The fee rose by 20% and 30% of members left; the set {a} has one element.",
+    "The bakery is closed on Monday.",
+    "Call the office to ask for a new password.",
+    "Maintenance of the canal is paid for by the county.",
+    "In C, __init is no name that the standard keeps; 50 % of 8 is 4.",
+]
+
+
+def test_residue_in_wording_that_no_exemplar_holds():
+    df = {"": 10_000} | {w: 4000 for w in "the a of to is in and for that was on it this are at by an".split()} | {w: 600 for w in "you your not be page site we has been if or one please can was".split()}
+    index = residue.Index(df)
+    page = lambda t: f"<html><head><title>T</title></head><body><nav>Home</nav><p>{t}</p></body></html>"
+    assert not set(UNSEEN_RESIDUE) & {t for _, t in residue.exemplars()}
+    hit = [index.judge(page(t))[1] is not None for t in UNSEEN_RESIDUE]
+    wrong = [index.judge(page(t))[1] is not None for t in UNSEEN_REAL]
+    assert sum(hit) >= 0.9 * len(hit) and sum(wrong) <= 1, ([t for t, x in zip(UNSEEN_RESIDUE, hit) if not x], [t for t, x in zip(UNSEEN_REAL, wrong) if x])
+
+
+def test_filler_words_are_learned_from_the_passages_that_lorem_ipsum_opens(spark):
+    rng = random.Random(4)
+    latin = [f"{a}{b}" for a in ("val", "dor", "mur", "tis", "qua") for b in ("em", "ix", "ora", "und")]
+    text = lambda: " ".join(rng.choice(latin) for _ in range(30))
+    rows = [(i, 200, f"<p>Lorem ipsum {text()} the</p>") for i in range(12)] + [(100 + i, 200, f"<p>{text()}</p>") for i in range(5)] + [(200 + i, 200, f"<p>{SENTENCE * 3}</p>") for i in range(20)]
+    df, filler = residue.frequencies(responses(spark, rows))
+    assert df[""] == 37 and filler == set(latin)
+    assert sorted(r.response_id for r in residue.found(responses(spark, rows)).collect()) == [*range(12), *range(100, 105)]
+
+
 # near copies
 
 
