@@ -66,15 +66,41 @@ def test_repeated_lines(spark):
     assert few == brute_lines(clean, 3)
 
 
-def test_summaries_lose_nothing_when_their_slots_run_out(spark):
-    keyed = repeated_lines.keyed_lines(results(spark, line_rows()[:200]))
-    count = lambda slots: {r.k: r.n for r in repeated_lines.line_summaries(keyed, slots).groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    assert count(1) == count(10**6)
+@pytest.mark.parametrize("site_slots,task_slots,limit", [(4, 10**6, 10**6), (40, 50, 10**6), (10**6, 10**6, 0), (4, 20, 0)])
+def test_bounded_summaries_lose_no_line(spark, site_slots, task_slots, limit):
+    rows = line_rows()
+    clean = [(i, None if e == "NULL" else e, b, r) for i, e, b, r in rows]
+    got = [tuple(r) for r in repeated_lines.repeated_lines(results(spark, rows).repartition(3), 8, site_slots, task_slots, limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_lines(clean)
+
+
+def test_summary_bounds_its_error():
+    rng = random.Random(3)
+    s, true = repeated_lines.Summary(20), Counter()
+    for _ in range(500):
+        keys = {min(int(rng.expovariate(0.05)), 200) for _ in range(6)}
+        s.update(keys)
+        true.update(keys)
+        assert len(s.counts) <= 20
+    assert all(s.counts[k] <= n <= s.counts[k] + s.error for k, n in true.items()) and s.error < 500
+
+
+def test_keys_that_stand_for_several_texts_are_counted_by_text(spark, monkeypatch):
+    monkeypatch.setattr(repeated_lines, "key_of", lambda t: len(t) % 3)
+    rows = line_rows()
+    clean = [(i, None if e == "NULL" else e, b, r) for i, e, b, r in rows]
+    places = spark.createDataFrame([(i, n, len(t) % 3, t) for i, site, t, n in ((i, site_of(e), f"{site_of(e)}\0{repeated_lines.normal(s)}", n) for i, e, b, r in clean if i is not None and site_of(e) and page_text(b, r) for n, s in visible_lines(page_text(b, r)))], "result_id long, line_no int, k long, text string")
+    marked, exact = repeated_lines.confirmed(places)
+    got = {(r.result_id, r.line_no) for r in marked.join(exact.select("k", "part"), ["k", "part"], "left_semi").collect()}
+    assert got == brute_lines(clean)
 
 
-def test_pages_without_repeats(spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_pages_without_repeats(spark, limit):
     rows = line_rows()
-    got = {r.result_id: r for r in repeated_lines.pages_without_repeats(results(spark, rows)).collect()}
+    out = repeated_lines.pages_without_repeats(results(spark, rows), limit=limit).collect()
+    got = {r.result_id: r for r in out}
+    assert len(out) == len(got)
     drop = brute_lines([(i, None if e == "NULL" else e, b, r) for i, e, b, r in rows])
     for i, e, b, r in rows[:240]:
         want = [x for n, x in visible_lines(page_text(b, r)) if (i, n) not in drop]
