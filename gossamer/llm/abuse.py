@@ -50,6 +50,8 @@ SORTS = set("kind sort type bunch pack load lot gang crowd only absolute what qu
 CASE, EXAMPLES, WINDOW, STEP, ORDINARY = 0.0, 100_000, 40, 20, 20
 #: Letters from which a term may be misspelt once, and twice; edits of words that stand for it.
 ONCE, TWICE = 5, 9
+#: Kinds of terms that tell nothing on their own.
+SILENT = ("wish", "body", "group")
 #: Fitting: rounds, strength that holds weights to where they start, least examples of a word sequence.
 ROUNDS, HOLD, LEAST = 400, 0.02, 2
 
@@ -191,6 +193,9 @@ class Scorer:
         self.ordinary = ordinary
         self.known = {w for words in self.idioms for w in words} | YOU | THEY | LINKS | SORTS | REPORTING
         self.seen: dict[str, tuple[str, float]] = {}
+        self.cold: set[str] = set()
+        # what tells anything holds one of these words; wishes, parts of the body and groups tell nothing on their own
+        self.anchors = {t for t, (kind, _) in self.terms.items() if kind not in SILENT} | {max(words, key=lambda w: (w not in YOU | LINKS, len(w))) for words in self.idioms}
 
     def _edits(self, term: str) -> int:
         """Edits that a term may be away."""
@@ -260,6 +265,8 @@ class Scorer:
         words = [w for w, _, _ in terms]
         held = set(words)
         f: dict[tuple, float] = {}
+        if held.isdisjoint(self.anchors):
+            return f
         top = lambda k, x: f.__setitem__(k, max(f.get(k, 0.0), x))
         quoted = [any(a <= p < b for a, b in quotes) for _, _, p in terms] if quotes else None
         free = lambda i: 0.0 if quoted is not None and quoted[i] else 1.0
@@ -348,9 +355,25 @@ class Scorer:
         w = self.fitted
         return sum(x * w.get(k, START.get(k, 0.0)) for k, x in f.items()) + w.get(("b",), BIAS)
 
+    def tells(self, tokens: list[str]) -> bool:
+        """Whether any of the words stands for one that tells something; words that don't are remembered."""
+        if self.cold.issuperset(tokens):
+            return False
+        if len(self.cold) >= self.KEPT:
+            self.cold.clear()
+        cold = {t for t in set(tokens) - self.cold if self.term(t)[0] not in self.anchors}
+        self.cold |= cold
+        return not self.cold.issuperset(tokens)
+
     def windows(self, text: str) -> Iterator[dict[tuple, float]]:
-        """The features of every window of a text."""
-        for part in ENDS.split(plain_text(text)):
+        """The features of every window of a text that holds a telling word."""
+        plain = plain_text(text)
+        apart = BLANKS.search(plain) is not None
+        if not apart and not self.tells(WORD.findall(plain)):
+            return
+        for part in ENDS.split(plain):
+            if not apart and not self.tells(WORD.findall(part)):
+                continue
             terms = self.words(part)
             if not terms:
                 continue
@@ -404,7 +427,7 @@ def fit(rows: list[tuple[str, int, str | None]], ordinary: frozenset[str] = froz
         for part in ENDS.split(plain_text(text or "")):
             words = [w for w, _, _ in base.words(part)]
             count.update({("w", *words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)})
-    telling = {t for t, (kind, _) in base.terms.items() if kind not in ("wish", "body", "group")}
+    telling = {t for t, (kind, _) in base.terms.items() if kind not in SILENT}
     known = {k: 0.0 for k, c in count.items() if c >= LEAST and not telling.isdisjoint(k[1:])} | dict(START)
     wide = Scorer(known, ordinary)
     bags = [(list(wide.windows(text or "")), int(label)) for text, label, _ in rows]
