@@ -9,8 +9,13 @@ the root is the sum of the offsets.  A level that hardly shrinks (long chains cu
 by the partitioning) is settled by pointer doubling, whose rounds are logarithmic
 in the number of nodes; what still has no root then lies on or below a cycle.
 
+Paths are materialised afterwards by traversal of an index of parents: every node holds its nearest
+2^k ancestors and a pointer to the next one, and each round appends what the pointer's node holds, so
+a path of any length takes a logarithmic number of joins.
+
 No tree, host or component is ever gathered in one task: parts are bounded by
-rows, and heavy hosts are split.
+rows; a host too large for a part is split by leading folders, and a folder too large for one by
+the hash of its urls, whose cut links the contraction joins again.
 """
 
 from __future__ import annotations
@@ -22,161 +27,163 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.plans.staging import stage
+from gossamer.plans.staging import maybe_broadcast, release, stage
 
 #: Links that a task holds at a time.
-PART_ROWS = 200_000
+PART_ROWS = 50_000
 ROOT, OPEN, CYCLE = 0, 1, 2
-SCHEMA = "node string, terminal string, offset int, state int, via array<string>"
+SCHEMA = "node string, terminal string, offset int, state int"
 
 
-def _forest(with_path: bool):
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the links of each part; parts arrive one after the other, as they are sorted by ``part``."""
 
     def flush(links: dict) -> pa.RecordBatch | None:
         if not links:
             return None
-        done: dict = {}  # node -> (terminal, offset, state, via)
+        done: dict = {}  # node -> (terminal, offset, state)
         for start in links:
-            trail, at = [], start
-            on = {}
+            trail, at, on = [], start, set()
             while at in links and at not in done and at not in on:
-                on[at] = len(trail)
+                on.add(at)
                 trail.append(at)
                 at = links[at][0]
             if at in on:  # came round
-                for n in trail:
-                    done[n] = (None, 0, CYCLE, [])
+                done.update(dict.fromkeys(trail, (None, 0, CYCLE)))
                 continue
             for n in reversed(trail):
-                up, w, via, root = links[n]
+                up, w, root = links[n]
                 if root:
-                    done[n] = (n, 0, ROOT, [])
+                    done[n] = (n, 0, ROOT)
                 elif up in done:
-                    t, o, s, v = done[up]
-                    between = ([] if t == up else [*v, up]) + via if with_path else []
-                    done[n] = (None, 0, CYCLE, []) if s == CYCLE else (t, o + w, s, between)
+                    t, o, s = done[up]
+                    done[n] = (None, 0, CYCLE) if s == CYCLE else (t, o + w, s)
                 else:
-                    done[n] = (up, w, OPEN, list(via) if with_path else [])
+                    done[n] = (up, w, OPEN)
         n = list(links)
         cols = list(zip(*(done[x] for x in n)))
-        return pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.string()))], ["node", "terminal", "offset", "state", "via"])
+        return pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["node", "terminal", "offset", "state"])
+
+    links, part = {}, None
+    for b in batches:
+        for p, n, up, w, root in zip(*(c.to_pylist() for c in b.columns)):
+            if p != part:
+                if (out := flush(links)) is not None:
+                    yield out
+                links, part = {}, p
+            links[n] = (up, w, root)
+    if (out := flush(links)) is not None:
+        yield out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, part = {}, None
-        for b in batches:
-            for p, n, up, w, via, root in zip(*(c.to_pylist() for c in b.columns)):
-                if p != part:
-                    if (out := flush(links)) is not None:
-                        yield out
-                    links, part = {}, p
-                links[n] = (up, w, via or [], root)
-        if (out := flush(links)) is not None:
-            yield out
 
-    return run
+def _local(links: DataFrame, parts: int) -> DataFrame:
+    laid = links.select("part", "node", "up", "w", "root").repartition(parts, "part").sortWithinPartitions("part")
+    return laid.mapInArrow(_forest, SCHEMA)
 
 
-def _local(links: DataFrame, parts: int, with_path: bool) -> DataFrame:
-    laid = links.select("part", "node", "up", "w", "via", "root").repartition(parts, "part").sortWithinPartitions("part")
-    return laid.mapInArrow(_forest(with_path), SCHEMA)
+def _heavy(nodes: DataFrame, key: str, most: int) -> DataFrame:
+    """(key) of the keys with more rows than that: at most rows / most of them, counted before they are broadcast."""
+    return maybe_broadcast(nodes.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(key, F.lit(True).alias(f"{key}_heavy")))
 
 
 def _parted(nodes: DataFrame, n: int, part_rows: int, near: Column | None) -> tuple[DataFrame, int]:
-    """Adds part: by host where a host fits a part, by host and leading path where it doesn't."""
+    """Adds part: by host where a host fits a part, else by leading folders where those do, else by the hash of the node."""
     parts = max(1, math.ceil(n / part_rows))
     if parts == 1:
         return nodes.withColumn("part", F.lit(0)), 1
+    spread = F.xxhash64("node")
     if near is None:
-        return nodes.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")), parts
-    nodes = nodes.withColumn("__near", near)
-    heavy = nodes.groupBy("__near").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > part_rows // 4)  # at most 4 n / part_rows rows
-    j = nodes.join(F.broadcast(heavy), "__near", "left")
+        return nodes.withColumn("part", F.pmod(spread, F.lit(parts)).cast("int")), parts
     lead = F.substring_index(F.regexp_replace("node", r"^[a-zA-Z][\w+.\-]*://", ""), "/", 3)
-    key = F.when(F.col("__n").isNull(), F.xxhash64("__near")).otherwise(F.xxhash64(lead))
-    return j.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).drop("__near", "__n"), parts
+    nodes = nodes.withColumns({"__near": near, "__lead": lead})
+    most = max(1, part_rows // 4)
+    j = nodes.join(_heavy(nodes, "__near", most), "__near", "left").join(_heavy(nodes, "__lead", most), "__lead", "left")
+    key = F.when(F.col("__near_heavy").isNull(), F.xxhash64("__near")).when(F.col("__lead_heavy").isNull(), F.xxhash64("__lead")).otherwise(spread)
+    return j.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).drop("__near", "__lead", "__near_heavy", "__lead_heavy"), parts
 
 
-def _doubled(open_: DataFrame, n: int, with_path: bool) -> DataFrame:
-    """Pointer doubling over (node, terminal, offset, state, via); what is open after log2(n)+1 rounds is in a cycle."""
+def _doubled(open_: DataFrame, n: int) -> DataFrame:
+    """Pointer doubling over (node, terminal, offset, state); what is open after log2(n)+1 rounds is in a cycle."""
     at = open_
     for _ in range(max(1, math.ceil(math.log2(max(n, 2)))) + 1):
         todo = at.filter(F.col("state") == OPEN)
         if todo.isEmpty():
             break
-        nxt = at.select(F.col("node").alias("terminal"), F.col("terminal").alias("t2"), F.col("offset").alias("o2"), F.col("state").alias("s2"), F.col("via").alias("v2"))
-        hop = todo.join(nxt, "terminal")
-        via = _through(F.col("s2") == CYCLE, with_path)
-        moved = hop.select("node", F.col("t2").alias("terminal"), F.when(F.col("s2") == CYCLE, 0).otherwise(F.col("offset") + F.col("o2")).cast("int").alias("offset"), F.col("s2").alias("state"), via.alias("via"))
+        nxt = at.select(F.col("node").alias("terminal"), F.col("terminal").alias("t2"), F.col("offset").alias("o2"), F.col("state").alias("s2"))
+        moved = todo.join(nxt, "terminal").select("node", F.col("t2").alias("terminal"), F.when(F.col("s2") == CYCLE, 0).otherwise(F.col("offset") + F.col("o2")).cast("int").alias("offset"), F.col("s2").alias("state"))
         at = stage(at.filter(F.col("state") != OPEN).unionByName(moved), "doubled")
     return at.withColumns({"terminal": F.when(F.col("state") == ROOT, F.col("terminal")), "offset": F.when(F.col("state") == ROOT, F.col("offset")).otherwise(0), "state": F.when(F.col("state") == ROOT, ROOT).otherwise(CYCLE)})
 
 
-def resolve(parents: DataFrame, near: Column | None = None, part_rows: int = PART_ROWS, with_path: bool = False) -> DataFrame:
-    """(node, root, depth, path) from (node, parent), one row per node, parent null for a root.
+def resolve(parents: DataFrame, near: Column | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """(node, root, depth) from (node, parent), one row per node, parent null for a root.
 
-    A parent that is no node itself makes its node a root.  On or below a cycle: root '',
-    depth -1, path null.  ``path`` runs from the root to the node and is null unless asked for.
+    A parent that is no node itself makes its node a root.  On or below a cycle: root '', depth -1.
     """
     known = parents.select(F.col("node").alias("parent"))
     links = parents.filter("parent is not null").join(known, "parent", "left_semi")
     flagged = parents.select("node").join(links.select("node", F.col("parent").alias("up")), "node", "left")
-    base = flagged.select("node", "up", F.lit(1).alias("w"), F.lit(None).cast("array<string>").alias("via"), F.col("up").isNull().alias("root"))
-    todo = stage(base, "links")
+    todo = stage(flagged.select("node", "up", F.lit(1).alias("w"), F.col("up").isNull().alias("root")), "links")
     n = todo.count()
     levels: list[tuple[DataFrame, DataFrame | None]] = []
     aside: DataFrame | None = None
     while True:
         laid, parts = _parted(todo, n, part_rows, None if levels else near)
-        got = stage(_local(laid, parts, with_path), "level")
+        got = stage(_local(laid, parts), "level")
         levels.append((got, aside))
+        top = None
         if parts == 1:
-            top = None
             break
         ends = got.filter(F.col("state") == OPEN).select(F.col("terminal").alias("node")).distinct()
         sub = stage(got.join(ends, "node", "left_semi"), "ends")
         m = sub.count()
         if m > n // 2:
-            top = _doubled(sub, m, with_path)
+            top = _doubled(sub, m)
             break
         if m == 0:
-            top = None
             break
         # what is settled already stands in as a root on the next level; its own result is kept aside
         aside = sub.filter(F.col("state") != OPEN)
-        todo = sub.select("node", F.when(F.col("state") == OPEN, F.col("terminal")).alias("up"), F.col("offset").alias("w"), "via", (F.col("state") != OPEN).alias("root"))
+        todo = sub.select("node", F.when(F.col("state") == OPEN, F.col("terminal")).alias("up"), F.col("offset").alias("w"), (F.col("state") != OPEN).alias("root"))
         n = m
     for got, aside in reversed(levels):
-        top = got if top is None else _follow(got, top, F.col("state") == OPEN, with_path)
+        top = got if top is None else _follow(got, top, F.col("state") == OPEN)
         if aside is not None:
-            top = _follow(top, aside, F.col("state") == ROOT, with_path)
+            top = _follow(top, aside, F.col("state") == ROOT)
     root = F.when(F.col("state") == ROOT, F.col("terminal")).otherwise("")
     depth = F.when(F.col("state") == ROOT, F.col("offset")).otherwise(-1).cast("int")
-    path = F.when(F.col("state") == ROOT, F.when(F.col("offset") == 0, F.array("node")).otherwise(F.concat(F.array("terminal"), "via", F.array("node")))) if with_path else F.lit(None).cast("array<string>")
-    return top.select("node", root.alias("root"), depth.alias("depth"), path.alias("path"))
-
-
-def _through(cycle: Column, with_path: bool) -> Column:
-    """Nodes between the far terminal and the node, once the near one is passed."""
-    if not with_path:
-        return F.col("via")
-    return F.when(cycle | (F.col("t2") == F.col("terminal")), F.col("via")).otherwise(F.concat("v2", F.array("terminal"), "via"))
+    return top.select("node", root.alias("root"), depth.alias("depth"))
 
 
-def _follow(rows: DataFrame, by: DataFrame, which: Column, with_path: bool) -> DataFrame:
+def _follow(rows: DataFrame, by: DataFrame, which: Column) -> DataFrame:
     """The chosen rows take over their terminal's result, where ``by`` has one."""
-    t = by.select(F.col("node").alias("terminal"), F.col("terminal").alias("t2"), F.col("offset").alias("o2"), F.col("state").alias("s2"), F.col("via").alias("v2"))
+    t = by.select(F.col("node").alias("terminal"), F.col("terminal").alias("t2"), F.col("offset").alias("o2"), F.col("state").alias("s2"))
     j = rows.join(t, "terminal", "left")
-    go, cycle = which & F.col("s2").isNotNull(), F.col("s2") == CYCLE
+    go = which & F.col("s2").isNotNull()
     return j.select(
         "node",
         F.when(go, F.col("t2")).otherwise(F.col("terminal")).alias("terminal"),
-        F.when(go & cycle, 0).when(go, F.col("offset") + F.col("o2")).otherwise(F.col("offset")).cast("int").alias("offset"),
+        F.when(go & (F.col("s2") == CYCLE), 0).when(go, F.col("offset") + F.col("o2")).otherwise(F.col("offset")).cast("int").alias("offset"),
         F.when(go, F.col("s2")).otherwise(F.col("state")).alias("state"),
-        F.when(go, _through(cycle, with_path)).otherwise(F.col("via")).alias("via"),
     )
 
 
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(node, up): the ancestors of each node of (node, parent, depth), nearest first; depth 0 ends the traversal.
+
+    Nodes whose ancestors are complete leave the rounds; the others follow their pointer through the index of all nodes.
+    """
+    parent = F.when(F.col("depth") > 0, F.col("parent"))
+    at = stage(tree.select("node", parent.alias("next"), F.when(parent.isNull(), F.array().cast("array<string>")).otherwise(F.array(parent)).alias("up")), "up")
+    while not (todo := at.filter("next is not null")).isEmpty():
+        index = at.select(F.col("node").alias("next"), F.col("next").alias("n2"), F.col("up").alias("u2"))
+        moved = todo.join(index, "next").select("node", F.col("n2").alias("next"), F.concat("up", "u2").alias("up"))
+        further = stage(at.filter("next is null").unionByName(moved), "up")
+        release(at)
+        at = further
+    return at.select("node", "up")
+
+
 def frontier_parents(frontier: DataFrame) -> DataFrame:
     """(node, parent) of each distinct url: the source in its row of smallest edge_id, trimmed and cut before '#'.
 
@@ -201,8 +208,11 @@ def found(frontier: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 
 def paths(frontier: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(url, root_url, depth, path): the urls from the root to each url; null path on or below a cycle."""
-    r = resolve(frontier_parents(frontier), host(), part_rows, with_path=True)
-    return r.select(F.col("node").alias("url"), F.col("root").alias("root_url"), "depth", "path")
+    parents = stage(frontier_parents(frontier), "parents")
+    r = stage(resolve(parents, host(), part_rows), "resolved")
+    up = ancestors(r.filter("depth >= 0").join(parents, "node"))
+    path = F.concat(F.reverse("up"), F.array("node"))
+    return r.join(up, "node", "left").select(F.col("node").alias("url"), F.col("root").alias("root_url"), "depth", F.when(F.col("up").isNotNull(), path).alias("path"))
 
 
 def descendants(frontier: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

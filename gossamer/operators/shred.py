@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gossamer.plans.staging import stage
+
 NODE = "struct<node:string,parent:string,label:string,ordinal:int,kind:string,scalar:string>"
 
 
@@ -57,6 +59,11 @@ def adjacency(df: DataFrame, key: str, roots: list[str], skip: frozenset[str] |
     return once.select(key, F.inline(F.concat(*walks)))
 
 
+def staged_nodes(df: DataFrame, key: str, roots: list[str]) -> DataFrame:
+    """The adjacency table, walked once: objects and scalars are read from it, not from the records again."""
+    return stage(adjacency(df, key, roots), "nodes")
+
+
 def entity(nodes: DataFrame, key: str, label: str, columns: list[str], parent_label: str | None = None) -> DataFrame:
     """(key, node, parent, pos, columns...): objects of a label joined with their scalar children, pivoted.
 
@@ -80,8 +87,7 @@ def children(results: DataFrame) -> DataFrame:
     (position of its form, pos); xhr_header (position of its request, 0, key);
     request_custom_field and xhr_custom_field (position of the request or 0, pos in the values, key).
     """
-    nodes = adjacency(_collections(results), "result_id", ["request", "response"])
-    return _child_rows(nodes)
+    return _child_rows(staged_nodes(_collections(results), "result_id", ["request", "response"]))
 
 
 def _collections(results: DataFrame) -> DataFrame:
@@ -121,20 +127,20 @@ REQUEST_COLUMNS = ["method", "endpoint", "body", "tag", "attribute", "source", "
 
 def requests(results: DataFrame) -> DataFrame:
     """(result_id, method, endpoint, body, tag, attribute, source, raw): the request entity."""
-    nodes = adjacency(results.select("result_id", F.when(F.col("request").isNotNull(), F.struct(*[F.col(f"request.{c}").alias(c) for c in REQUEST_COLUMNS])).alias("request")), "result_id", ["request"])
+    nodes = staged_nodes(results.select("result_id", F.when(F.col("request").isNotNull(), F.struct(*[F.col(f"request.{c}").alias(c) for c in REQUEST_COLUMNS])).alias("request")), "result_id", ["request"])
     return entity(nodes, "result_id", "request", REQUEST_COLUMNS).select("result_id", *REQUEST_COLUMNS)
 
 
 def forms(results: DataFrame) -> DataFrame:
     """(result_id, pos, method, action, enctype): the form entity, keyed to its record and place."""
     r = results.select("result_id", F.struct(F.transform("response.forms", lambda f: F.when(f.isNotNull(), F.struct(f["method"].alias("method"), f["action"].alias("action"), f["enctype"].alias("enctype")))).alias("forms")).alias("response"))
-    return entity(adjacency(r, "result_id", ["response"]), "result_id", "forms[]", ["method", "action", "enctype"]).select("result_id", "pos", "method", "action", "enctype")
+    return entity(staged_nodes(r, "result_id", ["response"]), "result_id", "forms[]", ["method", "action", "enctype"]).select("result_id", "pos", "method", "action", "enctype")
 
 
 def xhr_requests(results: DataFrame) -> DataFrame:
     """(result_id, pos, method, endpoint, body, tag, attribute, source, raw): the sub-request entity."""
     r = results.select("result_id", F.struct(F.transform("response.xhr_requests", lambda x: F.when(x.isNotNull(), F.struct(*[x[c].alias(c) for c in REQUEST_COLUMNS]))).alias("xhr_requests")).alias("response"))
-    return entity(adjacency(r, "result_id", ["response"]), "result_id", "xhr_requests[]", REQUEST_COLUMNS).select("result_id", "pos", *REQUEST_COLUMNS)
+    return entity(staged_nodes(r, "result_id", ["response"]), "result_id", "xhr_requests[]", REQUEST_COLUMNS).select("result_id", "pos", *REQUEST_COLUMNS)
 
 
 RESPONSE_COLUMNS = {"status_code": "int", "content_length": "bigint", "body": "string", "raw": "string", "stored_response_path": "string"}
@@ -144,14 +150,15 @@ def responses(results: DataFrame) -> DataFrame:
     """(result_id, parent_pos, pos, status_code, content_length, body, raw, stored_response_path): the response entity."""
     has = set(results.schema["response"].dataType.names)
     r = results.select("result_id", F.when(F.col("response").isNotNull(), F.struct(*[(F.col(f"response.{c}") if c in has else F.lit(None).cast(k)).alias(c) for c, k in RESPONSE_COLUMNS.items()])).alias("response"))
-    e = entity(adjacency(r, "result_id", ["response"]), "result_id", "response", list(RESPONSE_COLUMNS))
+    e = entity(staged_nodes(r, "result_id", ["response"]), "result_id", "response", list(RESPONSE_COLUMNS))
     return e.select("result_id", F.lit(0).alias("parent_pos"), "pos", *[F.col(c).cast(k).alias(c) for c, k in RESPONSE_COLUMNS.items()])
 
 
 def records(results: DataFrame) -> DataFrame:
-    """(result_id, timestamp, received_at, error): the record itself."""
+    """(result_id, timestamp, received_at, error): the record itself; of several deliveries the first."""
     kinds = dict(results.dtypes)
-    return results.filter("result_id is not null").dropDuplicates(["result_id"]).select("result_id", *[(F.col(c) if c in kinds else F.lit(None).cast(k)).alias(c) for c, k in (("timestamp", "timestamp"), ("received_at", "timestamp"), ("error", "string"))])
+    cols = [(F.col(c) if c in kinds else F.lit(None).cast(k)).alias(c) for c, k in (("timestamp", "timestamp"), ("received_at", "timestamp"), ("error", "string"))]
+    return results.filter("result_id is not null").select("result_id", *cols).groupBy("result_id").agg(*(F.min(c).alias(c) for c in ("timestamp", "received_at", "error")))
 
 
 def _elements(results: DataFrame, label: str) -> DataFrame:
@@ -186,7 +193,7 @@ def headers(results: DataFrame) -> DataFrame:
     own = F.struct(F.col("request.headers").alias("headers")).alias("request")
     xhr = F.transform("response.xhr_requests", lambda x: F.when(x.isNotNull(), F.struct(x["headers"].alias("headers")))).alias("xhr_requests")
     parts = [F.col("response.headers").alias("headers")] if "headers" in has else []
-    nodes = adjacency(results.select("result_id", own, F.struct(*parts, xhr).alias("response")), "result_id", ["request", "response"])
+    nodes = staged_nodes(results.select("result_id", own, F.struct(*parts, xhr).alias("response")), "result_id", ["request", "response"])
     e = entity(nodes, "result_id", "headers{}", ["key", "value"])
     return e.select("result_id", _owner(F.col("node")).alias("owner"), _place(F.col("node")).alias("parent_pos"), "pos", F.col("key").alias("name"), "value")
 
@@ -196,7 +203,7 @@ def custom_fields(results: DataFrame) -> DataFrame:
 
     A field without values has one row with neither pos nor value.
     """
-    nodes = adjacency(_collections(results), "result_id", ["request", "response"])
+    nodes = staged_nodes(_collections(results), "result_id", ["request", "response"])
     names = entity(nodes, "result_id", "custom_fields{}", ["key"])
     values = nodes.filter((F.col("label") == "value[]") & (F.col("kind") == "scalar")).select("result_id", F.regexp_replace("parent", "/value$", "").alias("node"), F.col("ordinal").alias("at"), F.col("scalar").alias("value"))
     node = F.col("node")

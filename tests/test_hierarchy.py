@@ -22,7 +22,9 @@ def brute(parents):
 
 def solve(spark, parents, **k):
     df = spark.createDataFrame(list(parents.items()), "node string, parent string")
-    return {r.node: (r.root, r.depth, r.path) for r in h.resolve(df, h.host(), with_path=True, **k).collect()}
+    r = h.resolve(df, h.host(), **k)
+    up = {x.node: x.up for x in h.ancestors(r.filter("depth >= 0").join(df, "node")).collect()}
+    return {x.node: (x.root, x.depth, [*reversed(up[x.node]), x.node] if x.node in up else None) for x in r.collect()}
 
 
 SMALL = {"a": None, "b": "a", "c": "b", "x": "y", "y": "x", "z": "x", "s": "s", "t": "s", "o": "nowhere", "p": "o"}
@@ -48,6 +50,16 @@ def test_long_chain_across_parts(spark):
     assert solve(spark, parents, part_rows=20) == brute(parents)
 
 
+def test_a_folder_with_all_urls_is_split(spark):
+    """One host, one folder: no part holds more than a few times the rows it should."""
+    parents = {f"https://h.example/a/b/{i}": f"https://h.example/a/b/{i // 2}" if i else None for i in range(800)}
+    df = spark.createDataFrame(list(parents.items()), "node string, parent string")
+    laid, parts = h._parted(df, 800, 40, h.host())
+    sizes = [r["count"] for r in laid.groupBy("part").count().collect()]
+    assert parts == 20 and max(sizes) < 120 and len(sizes) > 12
+    assert solve(spark, parents, part_rows=40) == brute(parents)
+
+
 def test_frontier(spark):
     rows = [(2, "u", "other", 1), (1, "u", " root#x ", 1), (1, "u", " root#x ", 1), (3, "root", None, 9), (4, "w", "  ", 0), (5, None, "root", 0), (6, "v", "#only", 0), (None, "q", "u", 0)]
     df = spark.createDataFrame(rows, "edge_id long, url string, source string, depth int")
