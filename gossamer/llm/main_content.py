@@ -1,14 +1,14 @@
 """Main body of web pages: a bidirectional LSTM labels every line in the light of the whole page.
 
 A page is the sequence of its visible lines (its leaves).  Each leaf is read as
-the mean of hashed tag-path vectors (open elements, their class words, link targets),
-the mean of hashed word vectors, and a few numbers on its shape.  One LSTM runs
+the mean of hashed tag-path vectors (all open elements and their class words, the nearest ones by their place, the
+elements of the line, link targets), the mean of hashed word vectors, and a few numbers on its shape.  One LSTM runs
 down the page and one up; a linear layer over both and the leaf gives the
 probability that the line belongs to the article.  The weights lie beside this
 module; ``train_main_content`` makes them.
 
-All lines of a page are read, however many; pages are batched by length, so that a
-batch holds a bounded number of cells.  Defined results: a page without text has no
+All lines of a page are read, however many; pages are gathered until they hold a bounded number of lines and
+batched by length, so that a batch holds a bounded number of cells.  Defined results: a page without text has no
 lines; a result delivered twice counts once; an empty table gives no rows.
 """
 
@@ -30,15 +30,14 @@ from gossamer.functions.markup import TAG, collapse, page_text, sub_tags, withou
 
 PATHS, WORDS, PATH_DIM, WORD_DIM, SHAPE, HIDDEN_DIM = 1024, 4096, 16, 24, 16, 24
 WEIGHTS = Path(__file__).with_name("main_content.npz")
-#: Cells (lines, padded) of a batch; pages gathered before they are sorted by length.
-CELLS, GATHER = 24_000, 512
+#: Cells (lines, padded) of a batch; lines gathered before their pages are sorted by length.
+CELLS, GATHER = 24_000, 12_000
 THRESHOLD = 0.5
 
-TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
 MARK = re.compile(r"<(/?)([a-zA-Z][\w\-]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|href|role)\s*=\s*[\"']?([^\"'>]*)")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[|»·/©—–:?!-]")
-NOISE = re.compile(r"\S(?:  +|\xa0|&nbsp;)\S|[ \xa0]{2,}(?:<|$)")
+SENTENCE = re.compile(r"[.!?;:]\s")
 VOID = frozenset("br hr img input meta link area base col embed source track wbr !doctype".split())
 _KEPT = 300_000
 
@@ -59,12 +58,12 @@ _word, _path = _Hashed(WORDS), _Hashed(PATHS)
 
 @lru_cache(50_000)
 def _tag_tokens(name: str, attributes: str) -> tuple[str, ...]:
-    """Class words without digits, and the shape of a link's target."""
+    """Class words without digits, and the shape of a link's target: its first two folders."""
     out = []
     for kind, value in ATTRIBUTE.findall(attributes):
         if kind.lower() == "href":
             v = re.sub(r"\d+", "0", value.strip())
-            out.append("h:" + ("#" if v.startswith("#") else "/".join(v.split("/")[:3])[:12]))
+            out.append("h:" + ("#" if v.startswith("#") else "/".join(v.split("/")[:3])))
         else:
             for w in re.split(r"[\s_]+", value.lower()):
                 w = re.sub(r"[^a-z\-]", "", w).strip("-")
@@ -78,41 +77,76 @@ def _whole_tags(m: re.Match) -> str:
     return s if "\n" not in s else s.replace("\n", " ") + "\n" * s.count("\n")
 
 
+def page_title(text: str) -> str:
+    """The visible title of a page in lower case, '' without one."""
+    at = text.lower().find("<title")
+    if at < 0 or (inner := text.find(">", at) + 1) == 0 or (end := text.lower().find("</title", inner)) < 0:
+        return ""
+    return collapse(sub_tags(" ", text[inner:end])).lower()
+
+
+class _Open:
+    """The open elements: their names in order, how many there are of each, and the path slots they give."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.names: dict[str, int] = {}
+        self.slots: dict[int, int] = {}
+
+    def put(self, name: str, extra: tuple[str, ...]) -> None:
+        if name in ("p", "li", "td", "tr") and self.stack and self.stack[-1][0] == name:
+            self._pop()
+        slots = tuple(_path[t] for t in (f"p:{name}", *extra))
+        self.stack.append((name, slots))
+        self.names[name] = self.names.get(name, 0) + 1
+        for k in slots:
+            self.slots[k] = self.slots.get(k, 0) + 1
+
+    def _pop(self) -> str:
+        name, slots = self.stack.pop()
+        self.names[name] -= 1
+        for k in slots:
+            self.slots[k] -= 1
+            if not self.slots[k]:
+                del self.slots[k]
+        return name
+
+    def close(self, name: str) -> None:
+        if self.names.get(name):
+            while self._pop() != name:
+                pass
+
+    def path(self) -> list[int]:
+        near = [_path[f"n{k}:{n}"] for k, (n, _) in enumerate(reversed(self.stack[-3:]))]
+        return [*self.slots, *near]
+
+
 def leaves(text: str) -> tuple[list[int], list[str], list[list[int]], list[list[int]], np.ndarray]:
     """(line numbers, visible texts, path slots, word slots, shapes) of a page."""
-    m = TITLE.search(text)
-    title = collapse(TAG.sub(" ", m[1])).lower() if m else ""
     tagged = "<" in text
+    title = page_title(text) if tagged else ""
     if tagged:
         text = sub_tags(_whole_tags, without_hidden(text))
     nos, texts, paths, words, shapes = [], [], [], [], []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     gap, seen = 1, set()
-    raw = text.split("\n")
-    for no, line in enumerate(raw, 1):
-        path, own, links, shut = [f"p:{t}" for t, _ in stack[-3:]], [], 0, False
-        for _, extra in stack[-4:]:
-            path += extra
+    for no, line in enumerate(text.split("\n"), 1):
+        path, own, links, shut = open_.path(), [], 0, False
         visible = line
         if tagged and "<" in line:
             for m in MARK.finditer(line):
                 name = m[2].lower()
                 if m[1]:
                     shut = True
-                    for k in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
+                    open_.close(name)
                 else:
                     extra = _tag_tokens(name, m[3]) if m[3] else ()
                     own.append(f"t:{name}")
                     own += extra
                     links += name == "a"
                     if name not in VOID and not m[3].endswith("/"):
-                        if name in ("p", "li", "td", "tr") and stack and stack[-1][0] == name:
-                            stack.pop()
-                        stack.append((name, extra))
-            visible = TAG.sub(" ", line)
+                        open_.put(name, extra)
+            visible = sub_tags(" ", line)
         s = collapse(visible)
         if not s:
             gap = gap + 1 if not line.strip() else max(gap, 0.5)
@@ -124,14 +158,13 @@ def leaves(text: str) -> tuple[list[int], list[str], list[list[int]], list[list[
         n = len(tokens)
         digits = sum(map(str.isdigit, tokens))
         caps = sum(map(str.isupper, [w[0] for w in s.split(" ")]))
-        noise = ("  " in line or "\xa0" in line or "&nbsp;" in line) and NOISE.search(line) is not None
         shapes.append(
             [
                 min(n, 200) ** 0.5 / 5,
-                float(s.isupper()),
-                float(low == s),
+                float(n > 12),
+                float(SENTENCE.search(s) is not None),
                 caps / (s.count(" ") + 1),
-                float(noise),
+                min(len(open_.stack), 20) / 20,
                 float(s[-1] in ".!?"),
                 float(low == title),
                 min(gap, 2) / 2,
@@ -149,7 +182,7 @@ def leaves(text: str) -> tuple[list[int], list[str], list[list[int]], list[list[
         gap = 0
         nos.append(no)
         texts.append(s)
-        paths.append(list(map(_path.__getitem__, dict.fromkeys(path + own))) or [0])
+        paths.append(list(dict.fromkeys([*path, *map(_path.__getitem__, own)])) or [0])
         words.append(list(map(_word.__getitem__, tokens)) or [0])
     x = np.array(shapes, np.float32).reshape(len(nos), SHAPE)
     if len(nos):
@@ -229,6 +262,7 @@ def _labelled(make, names: list[str]):
         if _model is None:
             _model = Labeller()
         held: list = []
+        lines = 0
 
         def give() -> pa.RecordBatch:
             ps = _model.pages([h[3] for h in held])
@@ -244,8 +278,10 @@ def _labelled(make, names: list[str]):
                 nos, texts, paths, words, shape = leaves(text)
                 if nos:
                     held.append((i, nos, texts, _model.inputs(paths, words, shape)))
-                if len(held) >= GATHER:
+                    lines += len(nos)
+                if lines >= GATHER:
                     yield give()
+                    lines = 0
         if held:
             yield give()
 

@@ -118,23 +118,78 @@ def test_leaves_agree_with_the_visible_lines():
         assert len(paths) == len(words) == len(shape) == len(nos) and all(paths) and all(words)
 
 
-@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the test tables")
-def test_main_content_on_held_out_pages(spark):
-    from gossamer.llm.train_main_content import labels
-
-    t = spark.read.parquet("/root/testdata/sf0.01/results.parquet")
-    got = {tuple(r) for r in main_content.found(t).collect()}
-    want, known = set(), set()
-    for r in t.select("result_id", "response.body", "response.raw").collect():
-        text = page_text(r.body, r.raw)
-        if text:
-            for n, y in labels(text).items():
-                known.add((r.result_id, n))
-                if y:
-                    want.add((r.result_id, n))
-    got &= known
-    hit = len(got & want)
-    assert hit / len(got) > 0.97 and hit / len(want) > 0.97
+HAND = """<!DOCTYPE html>
+<html><head><title>Why the river froze twice | The Gazette</title></head>
+<body class="front">
+<nav><ul>
+<li><a href="/world">World</a></li>
+<li><a href="/sport">Sport</a></li>
+</ul></nav>
+<div class="cookie-banner">
+We use cookies to improve your visit. Read our privacy policy.
+<button>Accept</button>
+</div>
+<main>
+<h1>Why the river froze twice | The Gazette</h1>
+<p class="byline">By Anna Berg</p>
+<p>In January the river froze for the first time since 1963, and skaters came from three counties to see it.</p>
+<p>Two weeks later, after a short thaw, it froze again. Nobody at the weather service had expected that.</p>
+<h2>What the records say</h2>
+<p>The oldest entry in the parish book is from 1684. It speaks of oxen roasted on the ice.</p>
+<a href="#share">Share this article</a>
+<p>Engineers now want to measure the flow below the bridge before the next winter comes.</p>
+</main>
+<aside>
+<a href="/r/1">Council votes on new bridge</a>
+<a href="/r/2">Ten walks for the spring</a>
+</aside>
+<footer>
+<p>© 2021 The Gazette. All rights reserved.</p>
+</footer>
+</body></html>"""
+
+
+def test_main_content_on_a_page_of_another_kind():
+    nos, texts, paths, words, shape = main_content.leaves(HAND)
+    m = main_content.Labeller()
+    p = dict(zip(texts, m.pages([m.inputs(paths, words, shape)])[0] >= main_content.THRESHOLD))
+    article = [t for t in texts if t.endswith("see it.") or t.endswith("expected that.") or t.endswith("the ice.") or t.endswith("comes.")]
+    assert len(article) == 4 and all(p[t] for t in article)
+    around = [t for t in texts if t.startswith(("World", "Sport", "We use cookies", "Accept", "©", "Council", "Ten walks"))]
+    assert len(around) == 7 and sum(bool(p[t]) for t in around) <= 1
+
+
+def test_labels_of_the_home(spark):
+    from gossamer.llm import train_main_content as tm
+
+    (lab, ok), (_, none) = tm.label_pages([HAND, "no markup\nat all"])
+    lines = HAND.split("\n")
+    on = [lines[n - 1] for n, y in lab.items() if y]
+    assert ok and not none and sum("<p>" in x for x in on) == 4 and not any("byline" in x or "share" in x or "href" in x or "©" in x for x in on)
+
+
+def test_main_content_on_held_out_sites():
+    """Sites that training never saw, in tables it did not read; labels are derived from structure."""
+    from gossamer.llm import train_main_content as tm
+
+    path = "/root/testdata/sf0.01/results.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the test tables")
+    pages = [p for p in tm.texts_of([path]) if tm.held_out(p[0])]
+    precision, recall = tm.agreement(main_content.Labeller(), tm.examples(pages))
+    assert len(pages) > 50 and precision > 0.95 and recall > 0.95
+
+
+def test_batches_are_bound_by_lines(spark):
+    df = results(spark, [(i, "e", "\n".join(f"<p>line {k} of page {i}</p>" for k in range(2000)), None) for i in range(30)])
+    assert main_content.main_bodies(df).count() == 30
+
+
+def test_tag_paths_hold_all_open_elements():
+    deep = "<div class='outer-most'>" + "<section>" * 40 + "<p>\nx\n</p>" + "</section>" * 40 + "\ny\n</div>\nz"
+    _, texts, paths, _, _ = main_content.leaves(deep)
+    slot = main_content._path["c:outer-most"]
+    assert texts == ["x", "y", "z"] and slot in paths[0] and slot in paths[1] and slot not in paths[2]
 
 
 def test_main_content_edges(spark):
