@@ -130,8 +130,8 @@ class _Parser:
 def view(df: DataFrame) -> dict[str, Column]:
     """Names a condition can use: the row's columns, those of request, and over them those of response.
 
-    Lists are joined with commas; ``url`` is the endpoint; headers are read by their snake_case names where
-    known to ``headers``.
+    Lists are joined with commas; ``url`` is the endpoint.  A name that none of them has is a header: those of the response,
+    then those of the request, in any case and with ``_`` for ``-`` (see ``header``).
     """
     names: dict[str, Column] = {}
 
@@ -154,9 +154,31 @@ def view(df: DataFrame) -> dict[str, Column]:
     return names
 
 
+def header(df: DataFrame, name: str) -> Column | None:
+    """The header of that snake_case name: the response's, else the request's, else that of the row's own ``headers``; None where rows have no headers."""
+    maps = [F.col(f"{p}.headers") for p in ("response", "request") if p in df.columns and isinstance(df.schema[p].dataType, T.StructType) and "headers" in df.schema[p].dataType.names]
+    maps += [F.col("headers")] if "headers" in df.columns and isinstance(df.schema["headers"].dataType, T.MapType) else []
+    named = lambda m: F.filter(F.map_entries(m), lambda e: F.replace(F.lower(e["key"]), F.lit("-"), F.lit("_")) == name.lower())
+    return F.coalesce(*(F.when(F.size(named(m)) > 0, F.element_at(named(m), -1)["value"]) for m in maps)) if maps else None
+
+
+class _Names(dict):
+    """The names of a view; any other one is a header."""
+
+    def __init__(self, df: DataFrame):
+        super().__init__(view(df))
+        self.df = df
+
+    def get(self, name: str, default: Column | None = None) -> Column | None:
+        if name in self:
+            return self[name]
+        h = header(self.df, name)
+        return default if h is None else h
+
+
 def condition(df: DataFrame, text: str) -> Column:
     """The condition as a Column over ``df``; null counts as false."""
-    p = _Parser(text, view(df))
+    p = _Parser(text, _Names(df))
     out = p.either()
     if p.at != len(p.tokens):
         raise ValueError("the condition goes on after its end")

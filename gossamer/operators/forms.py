@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields, replace
 from urllib.parse import quote_plus, urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -21,12 +21,33 @@ class FormFill:
     """Values put into forms; set your own."""
 
     email: str = "visitor@example.org"
-    color: str = "#e66465"
-    password: str = "gossamerP@ssw0rd1"
-    phone: str = "2124567890"
+    color: str = "#2f6f4f"
+    password: str = "Thread-and-needle-7"
+    phone: str = "+10005550123"
     placeholder: str = "gossamer"
 
 
+def load_fill(path: str, base: FormFill = FormFill()) -> FormFill:
+    """Values of a YAML file over the given ones; an unknown name, or a value that is no text or number, is an error."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        given = yaml.safe_load(f) or {}
+    if not isinstance(given, dict) or (unknown := set(given) - {x.name for x in fields(FormFill)}):
+        raise ValueError(f"unknown form values {sorted(unknown) if isinstance(given, dict) else given!r}")
+    if bad := [k for k, v in given.items() if not isinstance(v, (str, int, float))]:
+        raise ValueError(f"form values {bad} are no text")
+    return replace(base, **{k: str(v) for k, v in given.items()})
+
+
+def save_fill(path: str, fill: FormFill = FormFill()) -> None:
+    """Writes the values as a YAML file to start from."""
+    import yaml
+
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(asdict(fill), f)
+
+
 @dataclass
 class Form:
     attributes: dict
@@ -118,9 +139,9 @@ def encoded(values: dict[str, str]) -> str:
     return "&".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in values.items())
 
 
-def filled_forms(html: str, page: str, fill: FormFill = FormFill()) -> list[tuple]:
+def filled_forms(html: str, page: str, fill: FormFill | None = None) -> list[tuple]:
     """(ref, tag, attribute, method, body) of each form sent with suggested values."""
-    out = []
+    fill, out = fill or FormFill(), []
     for f in parse(html):
         target = resolve(page, f.attributes.get("action") or page)
         method = (f.attributes.get("method") or "GET").upper()

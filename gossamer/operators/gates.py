@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -140,6 +141,29 @@ def excluded_host(host: Column, rules: tuple[str, ...]) -> Column:
     return out | _any(host, tuple(patterns)) if patterns else out
 
 
+def asn_networks(table: DataFrame, number: str) -> tuple[str, ...]:
+    """The networks of an autonomous system ('AS' and digits) in a table (asn, network) of your own, as rules for ``excluded_host``."""
+    digits = number.upper().removeprefix("AS")
+    return tuple(r.network for r in table.filter(F.regexp_replace(F.upper(F.col("asn").cast("string")), "^AS", "") == digits).select("network").distinct().orderBy("network").collect())  # one system's networks
+
+
+def excluded_url(u: Column, rules: tuple[str, ...], asn: DataFrame | None = None) -> Column:
+    """Rules of ``excluded_host`` for the url's host, ':8080' for its port, and 'AS64500' for an autonomous system of the table ``asn``."""
+    hosts: list[str] = []
+    ports: list[str] = []
+    for r in rules:
+        if re.fullmatch(r":\d+", r):
+            ports.append(r[1:])
+        elif re.fullmatch(r"(?i)as\d+", r):
+            if asn is None:
+                raise ValueError(f"{r} needs a table of autonomous systems")
+            hosts += asn_networks(asn, r)
+        else:
+            hosts.append(r)
+    out = excluded_host(ur.hostname(u), tuple(hosts)) if hosts else F.lit(False)
+    return out | ur.port(u).isin(ports) if ports else out
+
+
 def expand_network(cidr: str) -> list[str]:
     """All addresses of a network, for seeds (at most 65,536)."""
     net = ipaddress.ip_network(cidr, strict=False)

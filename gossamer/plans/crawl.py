@@ -11,6 +11,7 @@ executor costs one level's tasks.  Within a level the first sighting is the one
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,8 @@ from gossamer.functions import url as ur
 from gossamer.operators import gates
 from gossamer.operators.custom_fields import evaluate
 from gossamer.operators.extract import page_links
-from gossamer.plans.staging import stage
+from gossamer.plans.staging import maybe_broadcast, stage
+from gossamer.sources.fetch import Getter, Limits, fetch, http_get
 from gossamer.sources.known_files import known_links
 from gossamer.sources.seeds import normal_seeds
 
@@ -43,7 +45,7 @@ def _key(config: CrawlConfig, u: str = "url"):
     return ur.request_key("method", shown, "body")
 
 
-def traverse(seeds: DataFrame, links: DataFrame, config: CrawlConfig = CrawlConfig(), known: DataFrame | None = None, resume: str | None = None) -> tuple[DataFrame, int]:
+def traverse(seeds: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], config: CrawlConfig = CrawlConfig(), known: DataFrame | None = None, resume: str | None = None) -> tuple[DataFrame, int]:
     """(visited requests, levels) over a link table (source, url, tag, attribute, method, body, position).
 
     ``resume`` is a folder that ``save`` wrote; the traversal goes on from its deepest level.
@@ -53,7 +55,7 @@ def traverse(seeds: DataFrame, links: DataFrame, config: CrawlConfig = CrawlConf
         deepest = visited.agg(F.max("depth")).first()[0]
         return _levels(visited, visited.filter(F.col("depth") == deepest), links, config)
     start = seeds.select("url", F.lit("GET").alias("method"), F.lit(None).cast("string").alias("body"), F.lit(0).alias("depth"), "root_host", F.lit(None).cast("string").alias("source"), F.lit("seed").alias("tag"), F.lit(None).cast("string").alias("attribute"))
-    level = start.withColumn("key", _key(config)).dropDuplicates(["key"]).select(*FRONTIER)
+    level = gates.unique_by(start.withColumn("key", _key(config)).select(*FRONTIER), "key", ["root_host", "url"])
     if known is not None:  # known files hang on the seeds' hosts, at their own depth
         k = known.withColumns({"method": F.lit("GET"), "body": F.lit(None).cast("string"), "root_host": F.lower(ur.hostname("source"))}).withColumn("key", _key(config))
         k = k.join(start.select("root_host").distinct(), "root_host", "left_semi")
@@ -69,26 +71,79 @@ def save(visited: DataFrame, folder: str) -> None:
     visited.select(*FRONTIER).write.mode("overwrite").parquet(folder)
 
 
-def _levels(visited: DataFrame, frontier: DataFrame, links: DataFrame, config: CrawlConfig) -> tuple[DataFrame, int]:
+def _levels(visited: DataFrame, frontier: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], config: CrawlConfig) -> tuple[DataFrame, int]:
+    """Level after level until the frontier is empty; ``links`` is a link table, or gives the links of a frontier's pages.
+
+    Whatever no gate lets through is dropped before the first sighting of a request is picked, so a sighting that is
+    out of one root's scope never hides one that is in another's.
+    """
     began, n = time.monotonic(), 1
+    expand = links if callable(links) else lambda _: links
     while not frontier.isEmpty():  # climbing goes up again, so the depth of a level does not bound the rounds; uniqueness does
         if config.max_seconds and time.monotonic() - began > config.max_seconds:
             break
-        out = frontier.filter(F.col("depth") < config.max_depth).select(F.col("url").alias("source"), "depth", "root_host").dropDuplicates(["source"]).join(links, "source")
+        inner = frontier.filter(F.col("depth") < config.max_depth)
+        out = inner.select(F.col("url").alias("source"), "depth", "root_host").dropDuplicates(["source", "root_host"]).join(expand(inner), "source")
         cand = out.select("url", "method", F.col("body"), (F.col("depth") + 1).cast("int").alias("depth"), "root_host", "source", "tag", "attribute", "position")
         if config.path_climb:
             up = frontier.select(F.explode(ur.parent_paths("url")).alias("url"), F.lit("GET").alias("method"), F.lit(None).cast("string").alias("body"), F.greatest(F.col("depth") - 1, F.lit(0)).cast("int").alias("depth"), "root_host", F.col("url").alias("source"), F.lit("path-climb").alias("tag"), F.lit(None).cast("string").alias("attribute"), F.lit(1_000_000).alias("position"))
             cand = cand.unionByName(up)
-        cand = cand.filter(ur.is_url("url")).filter(gates.extension_allowed(F.col("url"), (), config.extension_deny, config.extension_defaults))
+        cand = cand.filter(ur.is_url("url")).filter(gates.extension_allowed(F.col("url"), config.extension_match, config.extension_deny, config.extension_defaults))
         cand = cand.withColumn("key", _key(config)).join(visited.select("key"), "key", "left_anti")
-        first = gates.unique_by(cand.select(*FRONTIER, "position"), "key", ["depth", "source", "position", "url"])
-        first = first.filter(~ur.is_cycle("key")).filter(gates.in_scope(F.col("url"), F.col("root_host"), config.scope))
+        cand = cand.filter(gates.in_scope(F.col("url"), F.col("root_host"), config.scope)).filter(~ur.is_cycle("key"))
+        first = gates.unique_by(cand.select(*FRONTIER, "position"), "key", ["depth", "source", "position", "url", "root_host"])
         frontier = stage(first.select(*FRONTIER), f"level{n}")
         visited = visited.unionByName(frontier)
         n += 1
     return visited, n
 
 
+def one_page_each(pages: DataFrame, max_body: int) -> DataFrame:
+    """One row of each url, that of the smallest body hash and status; only keys are grouped and only rows that go are looked up."""
+    rows = pages.filter("url is not null").select("url", F.col("status_code").cast("int").alias("status_code"), "headers", gates.capped(F.col("body"), max_body).alias("body"), "redirect_to")
+    rows = stage(rows.withColumns({"__row": F.monotonically_increasing_id(), "__h": F.md5(F.encode(F.coalesce("body", F.lit("")), "utf-8"))}), "pages")
+    order = F.struct("__h", F.coalesce("status_code", F.lit(-1)).alias("c"), "__row")
+    kept = rows.groupBy("url").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("url", F.col("k.__row").alias("keep"))
+    gone = stage(rows.select("url", "__row").join(maybe_broadcast(stage(kept, "kept")), "url").filter("__row <> keep").select("__row"), "gone")
+    return rows.join(maybe_broadcast(gone), "__row", "left_anti").drop("__row", "__h")
+
+
+def live(seeds: DataFrame, config: CrawlConfig = CrawlConfig(), limits: Limits = Limits(), get: Getter = http_get, tasks: int = 1) -> Crawled:
+    """Fetch, extract and go on, level by level, until the frontier is empty.
+
+    Each level's requests are fetched once, in ``tasks`` parallel tasks that share the limits' rate, and staged; their
+    links pass the same gates as those of a snapshot.  ``results`` has the fetched rows, failed ones with their error.
+    """
+    fetched: list[DataFrame] = []
+
+    def links_of(frontier: DataFrame) -> DataFrame:
+        got = stage(fetch(frontier, limits, get, tasks), f"fetched{len(fetched)}")
+        fetched.append(got)
+        pages = got if config.follow_redirects else got.filter(~gates.is_redirect(F.coalesce("status_code", F.lit(0))))
+        found = page_links(pages.select("url", "headers", gates.capped(F.col("body"), config.max_body).alias("body")), config.flags)
+        return stage(found.filter("url <> ''"), f"links{len(fetched)}")
+
+    s = normal_seeds(seeds)
+    visited, n = traverse(s, links_of, config)
+    last = visited.select("url", "method", "body").join(_all(fetched, "url").distinct(), "url", "left_anti") if fetched else visited.select("url", "method", "body")
+    if not last.isEmpty():  # the deepest level is fetched, too; its links are not followed
+        fetched.append(stage(fetch(last, limits, get, tasks), "fetched-last"))
+    pages = fetched[0] if len(fetched) == 1 else _all(fetched)
+    request = F.struct("method", F.col("url").alias("endpoint"), "body", "tag", "attribute", "source")
+    response = F.when(F.col("error").isNull(), F.struct("status_code", "headers", F.col("page").alias("body"), F.octet_length("page").cast("bigint").alias("content_length")))
+    rows = visited.join(pages.withColumnRenamed("body", "page").dropDuplicates(["url"]), "url", "left")
+    results = rows.select(request.alias("request"), response.alias("response"), "depth", "root_host", "error")
+    edges = visited.filter("source is not null").select("source", F.col("url").alias("target"), "tag", "attribute", "depth").distinct()
+    return Crawled(results, results.filter("error is not null").select("request.source", F.col("request.endpoint").alias("ref"), "request.tag", "request.attribute"), edges, n)
+
+
+def _all(parts: list[DataFrame], *columns: str) -> DataFrame:
+    out = parts[0].select(*columns) if columns else parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*columns) if columns else p)
+    return out
+
+
 def crawl(pages: DataFrame, seeds: DataFrame, config: CrawlConfig = CrawlConfig(), files: DataFrame | None = None) -> Crawled:
     """Traverse a snapshot of (url, status_code, headers, body, redirect_to) pages from the seeds.
 
@@ -97,8 +152,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, config: CrawlConfig = CrawlConfig(
     ``follow_redirects`` a page's redirect target is one of its links; without it, the links of a
     redirecting page are not followed.
     """
-    one = pages.filter("url is not null").select("url", F.col("status_code").cast("int").alias("status_code"), "headers", gates.capped(F.col("body"), config.max_body).alias("body"), "redirect_to")
-    one = stage(gates.unique_by(one.withColumn("b", F.coalesce("body", F.lit(""))).select("url", "b", "status_code", "headers", "body", "redirect_to"), "url", ["b", "status_code"]).drop("b"), "pages")
+    one = one_page_each(pages, config.max_body)
     parsed = one if config.follow_redirects else one.filter(~gates.is_redirect(F.col("status_code")))
     links = page_links(parsed, config.flags)
     if config.follow_redirects:

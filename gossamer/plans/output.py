@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gossamer.functions import text as tx
 from gossamer.functions import url as ur
+from gossamer.operators import dsl, gates
 
 
 def without(df: DataFrame, raw: bool = False, body: bool = False) -> DataFrame:
@@ -74,20 +77,20 @@ def template_lines(df: DataFrame, template: str) -> DataFrame:
     return df.select(F.concat(*cols).alias("value")).filter("value is not null")
 
 
-def stored_fields(df: DataFrame, names: str) -> DataFrame:
+def stored_fields(df: DataFrame, names: str, custom: list[str] | None = None) -> DataFrame:
     """(scheme, host, field, value): distinct values per site, for ``write_partitioned``; taken before any filter."""
     u, own = F.col("request.endpoint"), F.col("request.custom_fields")
-    parts = [_named(n, ur.field(n, u, own)) for n in ur.validate_fields(names)]
+    parts = [_named(n, ur.field(n, u, own)) for n in ur.validate_fields(names, custom)]
     rows = df.filter(ur.is_url(u)).select(ur.scheme(u).alias("scheme"), ur.hostname(u).alias("host"), F.explode(F.concat(*parts)).alias("x"))
     return rows.select("scheme", "host", "x.field", "x.value").distinct()
 
 
 def stored_responses(df: DataFrame) -> DataFrame:
-    """(path, content) of each row with a response: url, raw request and raw response."""
+    """(path, content) of each row with a response: url, raw request and raw response; of several contents of a url the smallest."""
     u = F.col("request.endpoint")
     blank = lambda c: F.coalesce(c, F.lit(""))
     text = F.concat(u, F.lit("\n\n\n"), blank(F.col("request.raw")), F.lit("\n\n"), blank(F.coalesce("response.raw", "response.body")))
-    return df.filter("response is not null and request.endpoint is not null").select(ur.store_path(u).alias("path"), text.alias("content")).dropDuplicates(["path"])
+    return df.filter("response is not null and request.endpoint is not null").select(ur.store_path(u).alias("path"), text.alias("content")).groupBy("path").agg(F.min("content").alias("content"))
 
 
 def response_index(df: DataFrame) -> DataFrame:
@@ -135,3 +138,89 @@ def recall(expected: DataFrame, found: DataFrame) -> DataFrame:
     j = expected.select("path").distinct().join(found.select("path").distinct().withColumn("hit", F.lit(1)), "path", "left")
     g = j.agg(F.count(F.lit(1)).alias("expected"), F.count("hit").alias("matched"))
     return g.withColumn("percent", F.when(F.col("expected") > 0, F.floor(F.col("matched") * 100 / F.col("expected"))).otherwise(0).cast("bigint"))
+
+
+@dataclass(frozen=True)
+class OutputConfig:
+    """What is written; checked on construction."""
+
+    format: str = "json"  # json, screen, verbose, fields or template
+    fields: str = ""
+    template: str = ""
+    store_fields: str = ""
+    custom: tuple[str, ...] = ()
+    store_responses: bool = False
+    omit_raw: bool = False
+    omit_body: bool = False
+    exclude: tuple[str, ...] = ()
+    extension_match: tuple[str, ...] = ()
+    extension_deny: tuple[str, ...] = ()
+    extension_defaults: bool = False
+    match: tuple[str, ...] = ()
+    match_dsl: str | None = None
+    drop: tuple[str, ...] = ()
+    drop_dsl: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.format not in ("json", "screen", "verbose", "fields", "template"):
+            raise ValueError(f"unknown format {self.format!r}")
+        if self.format == "fields" and not self.fields or self.format == "template" and not self.template:
+            raise ValueError(f"the format {self.format!r} needs its {self.format}")
+        for names in (self.fields, self.store_fields):
+            if names:
+                ur.validate_fields(names, list(self.custom))
+        for name in re.findall(r"\{\{\s*([\w\-]+)\s*\}\}", self.template):
+            ur.validate_fields(name, list(self.custom))
+        for p in (*self.match, *self.drop):
+            tx.check_pattern(p)
+
+
+@dataclass(frozen=True)
+class Output:
+    """results: the rows that pass; lines (value): their lines; fields, responses, index, errors: the other files, None where not asked for."""
+
+    results: DataFrame
+    lines: DataFrame
+    fields: DataFrame | None
+    responses: DataFrame | None
+    index: DataFrame | None
+    errors: DataFrame
+
+
+def pipeline(df: DataFrame, config: OutputConfig = OutputConfig()) -> Output:
+    """Result rows through all steps of writing, in their order.
+
+    Field values are stored first, of all rows; then extensions, match and filter decide; of the rows left, responses are stored,
+    raw texts and bodies omitted and lines made.  Rows whose line is empty give none.  Failed rows are listed whatever decides.
+    """
+    u = F.col("request.endpoint")
+    stored = stored_fields(df, config.store_fields, list(config.custom)) if config.store_fields else None
+    rows = df.filter(gates.extension_allowed(u, config.extension_match, config.extension_deny, config.extension_defaults))
+    rows = dsl.chosen(rows, list(config.match), config.match_dsl, list(config.drop), config.drop_dsl)
+    responses, index = (stored_responses(rows), response_index(rows)) if config.store_responses else (None, None)
+    out = without(rows, config.omit_raw, config.omit_body)
+    make = {
+        "json": lambda d: json_lines(exclude_fields(d, list(config.exclude))), "screen": screen_lines, "verbose": lambda d: screen_lines(d, True),
+        "fields": lambda d: field_lines(d, config.fields, list(config.custom)).select("value"), "template": lambda d: template_lines(d, config.template),
+    }
+    return Output(out, make[config.format](out).filter("value <> ''"), stored, responses, index, errors(df))
+
+
+def write(out: Output, folder: str, overwrite: bool = False) -> str:
+    """Writes all parts below a folder and returns it; without ``overwrite`` a folder that is taken gets the next free number."""
+    spark = out.lines.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not overwrite:
+        parent = path.getParent()
+        taken = [f"{folder.rsplit('/', 1)[0]}/{x.getPath().getName()}" for x in fs.listStatus(parent)] if parent and fs.exists(parent) else []
+        folder = free_path(folder, taken)
+    write_lines(out.lines, f"{folder}/lines", overwrite)
+    out.errors.write.mode("overwrite" if overwrite else "errorifexists").json(f"{folder}/errors")
+    if out.fields is not None:
+        write_partitioned(out.fields, f"{folder}/fields", ["scheme", "host", "field"], overwrite)
+    if out.responses is not None:
+        out.responses.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{folder}/responses")
+        write_lines(out.index, f"{folder}/index", overwrite)
+    return folder

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.functions.url import hostname, with_scheme
-from gossamer.operators.gates import excluded_host
+from gossamer.operators.gates import excluded_url
 
 
-def normal_seeds(seeds: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+def normal_seeds(seeds: DataFrame, exclude: tuple[str, ...] = (), asn: DataFrame | None = None) -> DataFrame:
     """(url, root_host): trimmed, schemes added, repeats and blanks dropped; hosts under the exclusion rules go."""
     u = seeds.select(with_scheme("url").alias("url"), F.regexp_replace("url", r"[\s\x{a0}]+", "").alias("bare")).filter("bare <> ''").select("url").distinct()
     out = u.withColumn("root_host", F.lower(hostname("url")))
-    return out.filter(~excluded_host(F.col("root_host"), exclude)) if exclude else out
+    return out.filter(~excluded_url(F.col("url"), exclude, asn)) if exclude else out
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
