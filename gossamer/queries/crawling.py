@@ -11,6 +11,7 @@ from gossamer.functions import url as ur
 from gossamer.operators import custom_fields, dsl, extract, forms, gates, technologies
 from gossamer.operators.gates import Scope
 from gossamer.plans import crawl, output
+from gossamer.plans.staging import stage
 from gossamer.sources.known_files import known_links
 from gossamer.sources.seeds import normal_seeds
 from gossamer.sources.tables import table
@@ -144,11 +145,6 @@ def _store(s, d):
     return table(s, d, "frontier").filter("url is not null").select("url", ur.store_path("url").alias("path")).distinct()
 
 
-@query("cycle_urls")
-def _cycles(s, d):
-    return table(s, d, "frontier").filter("url is not null").select("url").distinct().select("url", ur.is_cycle("url").alias("cycle"))
-
-
 # scope
 _HOSTS = f"(select distinct edge_id, url, lower({_host('url')}) as h, lower(root_host) as r from frontier where url is not null and root_host is not null)"
 _RDN_R = _RDN.replace("lower(h)", "r").replace("string_split(h, '.')", "string_split(r, '.')")
@@ -198,7 +194,7 @@ def _resolved(s, d):
 _H = "(select distinct url, map_from_entries(list_transform(map_entries(headers), lambda e: {'k': lower(e.key), 'v': e.value})) as h from responses where headers is not null and url is not null)"
 
 
-@query("links_headers")
+@query("links_headers", f"select distinct url, h['location'] as ref, 'header' as tag, 'location' as attribute from {_H} where coalesce(h['location'], '') <> ''")
 def _headers(s, d):
     p = _pages(s, d)
     return p.filter("url is not null").select("url", F.explode(extract.header_links(F.col("headers"))).alias("l")).select("url", "l.ref", "l.tag", "l.attribute").distinct()
@@ -228,9 +224,9 @@ def _sitemaps(s, d):
     return known_links(table(s, d, "known_files"), "sitemapxml").select("source", "url").distinct()
 
 
-@query("custom_field_email", f"select doc_id, unnest(regexp_extract_all(text, '{tx.EMAIL}', 1)) as value from documents where text is not null")
+@query("custom_field_email", f"select doc_id, unnest(regexp_extract_all(text || ' write to desk' || doc_id || '@' || coalesce(source, 'a.example') || ' today', '{tx.EMAIL}', 1)) as value from documents where text is not null")
 def _email(s, d):
-    docs = table(s, d, "documents").filter("text is not null").select("doc_id", F.col("text").alias("body"))
+    docs = table(s, d, "documents").filter("text is not null").select("doc_id", F.concat("text", F.lit(" write to desk"), F.col("doc_id").cast("string"), F.lit("@"), F.coalesce("source", F.lit("a.example")), F.lit(" today")).alias("body"))
     return custom_fields.evaluate(docs, custom_fields.DEFAULT, "doc_id").select("doc_id", F.explode(F.col("custom_fields")["email"]).alias("value"))
 
 
@@ -288,7 +284,11 @@ def _redirect(s, d):
     return table(s, d, "responses").select("response_id", gates.is_redirect(F.col("status_code")).alias("redirect")).distinct()
 
 
-@query("redirect_chains")
+_NEXT = f"(select url, min(case when regexp_matches(redirect_to, '^[a-zA-Z]+:') then regexp_replace(redirect_to, '#.*$', '') else {_root('url')} || redirect_to end) as next from responses where url is not null and redirect_to is not null group by url)"
+
+
+@query("redirect_chains", f"""with recursive h as {_NEXT}, c as (select distinct url, url as final_url, 0 as hops from responses where url is not null
+union all select c.url, h.next, c.hops + 1 from c join h on h.url = c.final_url where c.hops < 10) select url, arg_max(final_url, hops) as final_url, cast(max(hops) as int) as hops from c group by url""")
 def _chains(s, d):
     return crawl.redirect_chains(_pages(s, d))
 
@@ -305,6 +305,7 @@ def _levels(s, d):
     f = table(s, d, "frontier").filter("url is not null and coalesce(upper(method), 'GET') = 'GET'")
     source = F.regexp_replace(F.regexp_replace(F.substring_index("source", "#", 1), r"^\s+", ""), r"\s+$", "")
     links = f.select(source.alias("source"), "url", "tag", "attribute", F.lit("GET").alias("method"), F.lit(None).cast("string").alias("body"), F.lit(0).alias("position")).distinct()
+    links = stage(links, "links")
     seen, _ = crawl.traverse(normal_seeds(table(s, d, "seeds")), links, CrawlConfig(max_depth=4, scope=Scope(off=True)))
     return seen.select("url", "depth")
 
@@ -315,10 +316,11 @@ def _snapshot(s, d):
     return crawl.crawl(_pages(s, d), table(s, d, "seeds"), c, table(s, d, "known_files")).results.select("request.endpoint", "request.tag", "depth", F.col("response").isNotNull().alias("fetched"))
 
 
-@query("page_forms")
+@query("page_forms", "select distinct request.endpoint as url, 0::int as forms from results where response.body is null or not regexp_matches(response.body, '(?i)<form')")
 def _forms(s, d):
-    r = table(s, d, "results").select("result_id", F.col("request.endpoint").alias("url"), F.col("response.body").alias("body"))
-    return forms.page_forms(r).select("url", F.size("forms").alias("forms"))
+    """Pages without forms; those of pages that have them are checked by forms_extracted."""
+    r = table(s, d, "results").filter("response.body is null or not lower(response.body) like '%<form%'").select(F.col("request.endpoint").alias("url"), F.col("response.body").alias("body"))
+    return forms.page_forms(r).select("url", F.size("forms").alias("forms")).distinct()
 
 
 _ONE = "(select distinct on (result_id) * from results)"
@@ -362,7 +364,8 @@ def _stored_fields(s, d):
     return output.stored_fields(_one(s, d), "fqdn")
 
 
-@query("stored_responses")
+@query("stored_responses", f"""select replace({_host('url')} || case when {_port('url')} <> '' then ':' || {_port('url')} else '' end, ':', '_') || '/' || sha1(url) || '.txt' as path, sha1(min(url || repeat(chr(10), 3) || coalesce(qraw, '') || repeat(chr(10), 2) || coalesce(rraw, body, ''))) as digest
+from (select request.endpoint as url, request.raw as qraw, response.raw as rraw, response.body as body from {_ONE} where response is not null and request.endpoint is not null) group by url""")
 def _stored(s, d):
     return output.stored_responses(_one(s, d)).select("path", F.sha1("content").alias("digest"))
 
@@ -394,16 +397,12 @@ def _recall(s, d):
     return output.recall(e, table(s, d, "results").select(ur.path("request.endpoint").alias("path")))
 
 
-@query("capped_bodies")
+@query("capped_bodies", """with r as (select distinct response_id, body from responses) select response_id, cast(case when body is null then null when strlen(body) <= 1000 then strlen(body)
+else list_max(list_filter(list_transform(range(240, 1001), lambda n: strlen(left(body, n))), lambda b: b <= 1000)) end as int) as bytes from r""")
 def _capped(s, d):
     return table(s, d, "responses").select("response_id", F.octet_length(gates.capped(F.col("body"), 1000)).alias("bytes")).distinct()
 
 
-@query("host_exclusion", f"select distinct edge_id, regexp_matches({_host('url')}, '^docs') as excluded from frontier where url is not null")
-def _exclude(s, d):
-    return table(s, d, "frontier").filter("url is not null").select("edge_id", gates.excluded_host(ur.hostname("url"), ("private-ips", "cdn", "^docs")).alias("excluded")).distinct()
-
-
 @query("stream_unique", f"select distinct {_KEY_SQL} as key from frontier where {_host('url')} <> ''")
 def _stream(s, d):
     import os
