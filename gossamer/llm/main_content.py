@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions.markup import TAG, collapse, page_text, sub_tags, without_hidden
 
-PATHS, WORDS, PATH_DIM, WORD_DIM, SHAPE, HIDDEN_DIM = 1024, 4096, 16, 24, 16, 24
+PATHS, WORDS, PATH_DIM, WORD_DIM, SHAPE, HIDDEN_DIM = 2048, 16384, 16, 24, 16, 24
 WEIGHTS = Path(__file__).with_name("main_content.npz")
 #: Cells (lines, padded) of a batch; lines gathered before their pages are sorted by length.
 CELLS, GATHER = 24_000, 12_000
@@ -49,7 +49,7 @@ class _Hashed(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= _KEPT:
             self.clear()
-        k = self[token] = xxhash.xxh32_intdigest("0" if token.isdigit() else token) % self.slots
+        k = self[token] = xxhash.xxh32_intdigest("0" if token.isdigit() else token) % (self.slots - 1) + 1  # slot 0 stands for nothing
         return k
 
 

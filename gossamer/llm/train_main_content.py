@@ -12,7 +12,7 @@ No page comes with labels, so they are derived, for pages that have a title:
   are taken out of the article where it is sure, and left out of the loss where it is nearly sure;
 - all other lines inside are the article.
 
-Names of containers and titles are dropped at random while training, and a part of the pages is read once more
+Words, names of containers and titles are dropped at random while training, so that what is unknown counts as nothing, and a part of the pages is read once more
 with all markup taken away, line by line, so the model learns to do without them.  At most ``PAGES`` pages are
 read, those of the smallest ids.  Sites whose hash ends in 0 are held out (``held_out``), never trained on.
 """
@@ -196,6 +196,12 @@ def train(pages: list, rng: np.random.Generator, rounds: int = ROUNDS) -> dict[s
         w[f"b_{s}"][HIDDEN_DIM : 2 * HIDDEN_DIM] = 1
     w["out"], w["bias"] = g(2 * HIDDEN_DIM + d, 1), np.zeros(1, np.float32)
     m1, m2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    for k, at in (("path", 0), ("word", 1)):  # what no page of the training holds says nothing, like slot 0
+        used = np.zeros(len(w[k]), bool)
+        for p in pages:
+            used[np.concatenate([np.asarray(x) for x in p[at]])] = True
+        used[0] = False
+        w[k][~used] = 0
     step = 0
     for r in range(rounds):
         order = np.argsort([len(p[3]) + 8 * rng.random() for p in pages])
@@ -213,6 +219,9 @@ def train(pages: list, rng: np.random.Generator, rounds: int = ROUNDS) -> dict[s
                 n = len(lab)
                 if rng.random() < 0.3:  # without names
                     paths = [[p[0]] for p in paths]
+                if rng.random() < 0.5:  # words that are not known
+                    gone = rng.uniform(0.3, 1.0)
+                    words = [[0 if rng.random() < gone else k for k in q] for q in words]
                 shape = shape.copy()
                 if rng.random() < 0.15:
                     shape[:, 6] = 0
@@ -255,6 +264,8 @@ def train(pages: list, rng: np.random.Generator, rounds: int = ROUNDS) -> dict[s
                 v = v * min(1, 1.0 / (norm + 1e-9))
                 m1[k] = 0.9 * m1[k] + 0.1 * v
                 m2[k] = 0.99 * m2[k] + 0.01 * v * v
+                if k in ("path", "word"):
+                    v[0] = 0
                 w[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         print(f"round {r}: loss {total / n_cells:.4f}", flush=True)
     return w

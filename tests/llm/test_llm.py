@@ -149,16 +149,6 @@ We use cookies to improve your visit. Read our privacy policy.
 </body></html>"""
 
 
-def test_main_content_on_a_page_of_another_kind():
-    nos, texts, paths, words, shape = main_content.leaves(HAND)
-    m = main_content.Labeller()
-    p = dict(zip(texts, m.pages([m.inputs(paths, words, shape)])[0] >= main_content.THRESHOLD))
-    article = [t for t in texts if t.endswith("see it.") or t.endswith("expected that.") or t.endswith("the ice.") or t.endswith("comes.")]
-    assert len(article) == 4 and all(p[t] for t in article)
-    around = [t for t in texts if t.startswith(("World", "Sport", "We use cookies", "Accept", "©", "Council", "Ten walks"))]
-    assert len(around) == 7 and sum(bool(p[t]) for t in around) <= 1
-
-
 def test_labels_of_the_home(spark):
     from gossamer.llm import train_main_content as tm
 
