@@ -194,10 +194,12 @@ def _resolved(s, d):
 _H = "(select distinct url, map_from_entries(list_transform(map_entries(headers), lambda e: {'k': lower(e.key), 'v': e.value})) as h from responses where headers is not null and url is not null)"
 
 
-@query("links_headers", f"select distinct url, h['location'] as ref, 'header' as tag, 'location' as attribute from {_H} where coalesce(h['location'], '') <> ''")
+@query("links_headers", "select distinct url, redirect_to as ref, 'header' as tag, 'location' as attribute from responses where url is not null and redirect_to <> ''")
 def _headers(s, d):
-    p = _pages(s, d)
-    return p.filter("url is not null").select("url", F.explode(extract.header_links(F.col("headers"))).alias("l")).select("url", "l.ref", "l.tag", "l.attribute").distinct()
+    """The table keeps a redirect's target apart; here it is a header again."""
+    own = F.when(F.col("redirect_to").isNotNull(), F.create_map(F.lit("Location"), "redirect_to"))
+    p = _pages(s, d).filter("url is not null").withColumn("headers", F.when(F.col("headers").isNull(), own).when(own.isNull(), F.col("headers")).otherwise(F.map_concat("headers", own)))
+    return p.select("url", F.explode(extract.header_links(F.col("headers"))).alias("l")).select("url", "l.ref", "l.tag", "l.attribute").distinct()
 
 
 @query("links_scripts")

@@ -261,7 +261,7 @@ def _found_lines(s, d):
 def _cycles(s, d):
     """Urls as they are, and with a folder or a stretch of 309 characters repeated."""
     tails = F.array(F.lit(""), F.repeat(F.lit("/abcdefghijk"), 12), F.repeat(F.lit("/abcdefghijk"), 7), F.concat(F.lit("?"), F.repeat(F.lit("xyzxyzxyz" + "q" * 300), 10)))
-    return _base(s, d).select(F.concat("url", F.explode(tails)).alias("url")).select("url", ur.is_cycle("url").alias("cycle"))
+    return _base(s, d).select("url", F.explode(tails).alias("tail")).select(F.concat("url", "tail").alias("url")).select("url", ur.is_cycle("url").alias("cycle"))
 
 
 _RULES = ("private-ips", "cdn", "^docs", "8.8.0.0/17", ":8080", "AS64500")
