@@ -74,11 +74,11 @@ def salted_join(rows: DataFrame, side: DataFrame, key: str, weight: str, heavy:
     """Join rows with one ``side`` row per key where single keys may hold a third of all rows.
 
     ``weight`` is the number of rows of a key.  Keys above ``heavy`` are at most
-    rows/heavy many, a bounded list: they are broadcast, so their rows stay where they are.  All
-    other keys go through an ordinary shuffle join.
+    rows/heavy many: while their counted number is below the bound of a broadcast, they are broadcast, so their rows stay where
+    they are.  All other keys, and all keys beyond that bound, go through an ordinary shuffle join.
     """
     big = side.filter(F.col(weight) > heavy)
-    if big.isEmpty():
+    if not 0 < big.count() <= BROADCAST_ROWS:
         return rows.join(side, key, how)
     hot = big.select(F.col(key).alias("__hot"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
