@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gossamer.llm.tokens import TOKENIZERS, token_counts
-from gossamer.plans.staging import stage
+from gossamer.plans.staging import release, stage
 
 CAPACITY = 2048
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1000, 3, 2, 12, 6
@@ -187,16 +187,18 @@ def _epoch(capacity: int, generations: int, population: int, epoch: int):
     return run
 
 
-def _round(items: DataFrame, n: int, name: str, capacity: int, block: int, islands: int, epochs: int, generations: int, population: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, piece_no, start, size, container_id, fill) of one round over the items, (block, island, crossovers, start, bins, bound))."""
+def _round(items: DataFrame, n: int, name: str, capacity: int, block: int, islands: int, epochs: int, generations: int, population: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """((doc_id, piece_no, start, size, container_id, fill) of one round over the items, (block, island, crossovers, start, bins, bound), the staged tables that both read)."""
     blocks = max(1, math.ceil(n / block))
     laid = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(name)), F.lit(blocks)))
     packed = stage(laid.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "piece_no", "start")), asc=False).alias("items")), "blocks")
     seeds = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.size").cast("array<int>").alias("sizes"), F.lit(None).cast("array<binary>").alias("pop"), F.lit(None).cast("bigint").alias("crossovers"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("bins"))
     parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * islands // 16)
+    steps = [packed]
     for e in range(epochs):
         moved = seeds.repartition(parts, "block", "island").mapInArrow(_epoch(capacity, generations, population, e), STATE)
         seeds = stage(moved, f"epoch{e}")
+        steps.append(seeds)
         if e + 1 < epochs and islands > 1:  # the elite goes round the ring
             elite = seeds.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("pop")[0].alias("elite"))
             seeds = seeds.join(elite, ["block", "island"]).select("block", "island", "sizes", F.array_distinct(F.concat(F.array("elite"), "pop")).alias("pop"), "crossovers", "start", "bins")
@@ -205,7 +207,7 @@ def _round(items: DataFrame, n: int, name: str, capacity: int, block: int, islan
     best = seeds.select("block", "sizes", F.col("pop")[0].alias("flat")).mapInArrow(_unpacked(capacity), "block bigint, score double, bin array<int>, fill array<int>")
     chosen = best.groupBy("block").agg(F.max_by(F.struct("bin", "fill"), "score").alias("b"))
     rows = packed.join(chosen, "block").select("block", F.inline(F.arrays_zip("items", F.col("b.bin").alias("bin"), F.col("b.fill").alias("fill"))))
-    return rows.select("items.doc_id", "items.piece_no", "items.start", "items.size", F.concat_ws("-", F.lit(name), "block", "bin").alias("container_id"), "fill"), log
+    return rows.select("items.doc_id", "items.piece_no", "items.start", "items.size", F.concat_ws("-", F.lit(name), "block", "bin").alias("container_id"), "fill"), log, steps
 
 
 def _unpacked(capacity: int):
@@ -231,9 +233,10 @@ def _packed(sizes: DataFrame, capacity: int, block: int, islands: int, epochs: i
     items, logs = pieces.filter(F.col("size") < capacity), []
     n, r = items.count(), 0
     while n:
-        rows, log = _round(items, n, f"r{r}", capacity, block, islands, epochs, generations, population)
+        rows, log, steps = _round(items, n, f"r{r}", capacity, block, islands, epochs, generations, population)
         placed = stage(rows, "placed")
-        logs.append(log.withColumn("round", F.lit(r)))
+        logs.append(stage(log.withColumn("round", F.lit(r)), "log"))
+        release(*steps)
         loose = placed.filter(F.col("fill") < capacity * WELL_FILLED)
         m = loose.count()
         if n <= block or m == 0 or m > n * STALLED:
