@@ -18,6 +18,7 @@ from gossamer.plans import crawl, output
 from gossamer.queries.crawling import _E, _ONE, _PAIRS, _host, _one, _port, _query, _raw_path, _root
 from gossamer.sources.fetch import Limits
 from gossamer.sources.tables import table
+from gossamer.streaming import links as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -310,6 +311,42 @@ def _extension_match(s, d):
     return seen.filter("depth = 1").select("url")
 
 
+@query("path_climb", f"select 'https://c.example/' || p as url, depth from (select 'a' || k || t as p, d as depth from {_BASE}, (values ('/b/c.html', 1), ('/b', 0), ('', 0)) as v(t, d)) union all select 'https://c.example/', 0")
+def _climb(s, d):
+    """Each page leads up to the folders above it, one level nearer to the root."""
+    u = F.concat(F.lit("https://c.example/a"), F.col("k").cast("string"), F.lit("/b/c.html"))
+    links = _base(s, d).select(F.lit("https://c.example/").alias("source"), u.alias("url"), F.lit("a").alias("tag"), F.lit("href").alias("attribute"), F.lit("GET").alias("method"), F.lit(None).cast("string").alias("body"), F.lit(0).alias("position"))
+    seeds = s.createDataFrame([("https://c.example/", "c.example")], "url string, root_host string")
+    seen, _ = crawl.traverse(seeds, links, CrawlConfig(max_depth=2, path_climb=True))
+    return seen.select("url", "depth")
+
+
+_REFS_AT = [("../x{k}", "https://h.example/d1/x{k}"), ("y{k}?a=b c", "https://h.example/d1/d2/y{k}?a=b%20c"), ("//cdn.example/{k}", "https://cdn.example/{k}"), ("?q={k}", "https://h.example/d1/d2/p.html?q={k}"), ("#f{k}", ""), ("http://o.example/{k}#f", "http://o.example/{k}"), (" /r{k} ", "https://h.example/r{k}"), ("mailto:m{k}@a.example", "mailto:m{k}@a.example"), ("./././z{k}/", "https://h.example/d1/d2/z{k}/")]
+
+
+@query("resolved_refs", f"select replace(r, '{{k}}', cast(k as varchar)) as ref, replace(t, '{{k}}', cast(k as varchar)) as url from {_BASE}, (values {', '.join(f'({_quoted(r)}, {_quoted(t)})' for r, t in _REFS_AT)}) as v(r, t)")
+def _resolved_refs(s, d):
+    ref = F.explode(F.array(*(_with_k(r) for r, _ in _REFS_AT))).alias("ref")
+    return _base(s, d).select(ref).select("ref", ur.abs_url(F.lit("https://h.example/d1/d2/p.html"), "ref").alias("url"))
+
+
+@query("has_response", f"select result_id, response is not null and response.raw is not null as ok from {_ONE}")
+def _has_response(s, d):
+    r = _one(s, d)
+    return r.select("result_id", gates.has_response(r).alias("ok"))
+
+
+@query("stream_unique_within", f"select distinct case when coalesce(upper(m), 'GET') = 'GET' then url when upper(m) = 'POST' then concat_ws(':', url, body) else concat_ws(':', upper(m), url) end as key from (select request.endpoint as url, request.method as m, request.body as body from results where timestamp is not null) where {_host('url')} <> ''")
+def _unique_within(s, d):
+    """Requests once within the watermark; what is older leaves the state."""
+    import os
+
+    name = f"{d}/results.parquet"
+    source = name if not os.path.isfile(name) else f"{d}/results[.]parquet"
+    rows = streams.read(s, source, table(s, d, "results").schema).filter("timestamp is not null").select("timestamp", F.col("request.endpoint").alias("url"), "request.method", "request.body")
+    return streams.run_to_end(streams.unique_within(rows, "timestamp", "3650 days").select("key"), "within")
+
+
 _SITE = "'https://s' || g || '.example/'"
 
 
