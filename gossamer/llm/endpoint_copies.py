@@ -66,12 +66,15 @@ def copy_groups(results: DataFrame, bits: int = 64, heavy: int = 1_000_000) -> D
     e = results.select("result_id", F.col("request.endpoint").alias("endpoint")).filter("result_id is not null").filter(F.regexp_replace("endpoint", BLANKS, "") != "")
     one, two = fingerprint(bits)
     rows = with_fields(e).withColumns({"f1": one, "f2": two}).withColumn("fp", F.struct("f1", "f2")).select("fp", "result_id", "path", "fields")
-    first = rows.groupBy("fp").agg(F.min_by(F.struct("path", "fields"), "result_id").alias("head"), F.min("result_id").alias("first_id"), F.max("result_id").alias("last_id"), F.count(F.lit(1)).alias("weight")).filter("last_id > first_id")
-    j = salted_join(rows, stage(first.drop("last_id"), "first"), "fp", "weight", heavy)
+    first = rows.groupBy("fp").agg(F.min("result_id").alias("first_id"), F.max("result_id").alias("last_id"), F.count(F.lit(1)).alias("weight")).filter("last_id > first_id")
+    first = stage(first.select("fp", "first_id", "weight"), "first")
+    members = salted_join(rows, first, "fp", "weight", heavy)
+    heads = members.filter("result_id = first_id").select("fp", F.struct("path", "fields").alias("head"), "weight").distinct()  # one a group, at most a part of the groups' rows
+    j = salted_join(members.drop("weight"), stage(heads, "heads"), "fp", "weight", heavy)
     ok = (F.col("path") == F.col("head.path")) & _same_fields(F.col("fields"), F.col("head.fields"))
     j = stage(j.select("result_id", "first_id", "path", "fields", ok.alias("ok")), "verified")
     good = j.filter("ok").select("first_id", "result_id").distinct()
-    bad = j.filter("not ok")
+    bad = j.filter("not ok").join(good.select("result_id"), "result_id", "left_anti")
     if not bad.isEmpty():  # the fingerprint alone was equal: group these by their fields
         counted = F.transform(F.array_sort(F.array_distinct("fields")), lambda x: F.struct(x.alias("f"), F.size(F.filter("fields", lambda y: y == x)).alias("n")))
         keyed = bad.select("result_id", F.struct("path", counted.alias("c")).alias("fp")).distinct()
