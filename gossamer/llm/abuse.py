@@ -66,6 +66,14 @@ ALIKE = str.maketrans("авекмнорстухіјѕԁɡοαενρτ", "abekmho
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "9": "g", "6": "g"}
 
 
+PLAIN = re.compile(r"[^\W_]+")
+
+
+def tokens(s: str) -> list[str]:
+    """The words of a text; where no sign can stand in a word, the plainer pattern gives the same."""
+    return (WORD if "*" in s or "@" in s or "$" in s or "!" in s else PLAIN).findall(s)
+
+
 def plain_text(text: str) -> str:
     """Lower-cased, without marks and zero-width characters, set-apart letters joined."""
     s = text
@@ -238,13 +246,16 @@ class Scorer:
             return m[0], (1.0, 0.8, 0.6)[m[1]]
         return token, 1.0
 
+    def _terms(self, found: list[str]) -> list[tuple[str, float, int]]:
+        seen = self.seen
+        return [(*(seen.get(t) or self.term(t)), 0) for t in found]
+
     def words(self, s: str) -> list[tuple[str, float, int]]:
         """(term, sureness, place) of a normalised window; letters set apart by blanks are segmented by the trie."""
         out = []
         spaced = [m.span() for m in BLANKS.finditer(s)]
         if not spaced and "-proof" not in s and not any(c in s for c in '"“«„'):
-            seen = self.seen
-            return [(*(seen.get(t) or self.term(t)), 0) for t in WORD.findall(s)]
+            return self._terms(tokens(s))
         for m in WORD.finditer(s):
             p = m.start()
             span = next(((a, b) for a, b in spaced if a <= p < b), None)
@@ -369,12 +380,14 @@ class Scorer:
         """The features of every window of a text that holds a telling word."""
         plain = plain_text(text)
         apart = BLANKS.search(plain) is not None
-        if not apart and not self.tells(WORD.findall(plain)):
+        if not apart and not self.tells(tokens(plain)):
             return
         for part in ENDS.split(plain):
-            if not apart and not self.tells(WORD.findall(part)):
+            found = tokens(part)
+            if not found or not apart and not self.tells(found):
                 continue
-            terms = self.words(part)
+            plainly = not apart and "-proof" not in part and '"' not in part and "“" not in part and "«" not in part and "„" not in part
+            terms = self._terms(found) if plainly else self.words(part)
             if not terms:
                 continue
             quotes = [m.span() for m in QUOTED.finditer(part)] if '"' in part or "“" in part or "«" in part or "„" in part else []
@@ -416,7 +429,7 @@ START = {
 
 def clean_words(rows: list[tuple[str, int, str | None]]) -> frozenset[str]:
     """Words of the examples that are rated clean."""
-    return frozenset(w for text, label, _ in rows if not label for w in WORD.findall(plain_text(text or "")) if w.isalpha())
+    return frozenset(w for text, label, _ in rows if not label for w in tokens(plain_text(text or "")) if w.isalpha())
 
 
 def fit(rows: list[tuple[str, int, str | None]], ordinary: frozenset[str] = frozenset()) -> dict[tuple, float]:
@@ -465,11 +478,16 @@ def _strangers(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(None, model.value)
         held: Counter = Counter()
+        usual: set[str] = set()
         for b in batches:
             for text in b.column(0):
                 text = text.as_py()
                 if text:
-                    held.update({t for t in set(WORD.findall(plain_text(text))) if t.isalpha() and scorer.term(t)[1] < 1})
+                    strange = set(tokens(plain_text(text))) - usual
+                    fuzzy = {t for t in strange if t.isalpha() and scorer.term(t)[1] < 1}
+                    if len(usual) < Scorer.KEPT:
+                        usual |= strange - fuzzy
+                    held.update(fuzzy)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     return run
