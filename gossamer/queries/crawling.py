@@ -204,8 +204,9 @@ def _headers(s, d):
 
 @query("links_scripts")
 def _scripts(s, d):
+    """Script documents as files of their source, and the script elements of all fetched pages."""
     docs = table(s, d, "documents").filter("kind = 'script'").select(F.concat(F.lit("https://"), F.coalesce("source", F.lit("unknown.invalid")), F.lit("/"), "doc_id", F.lit(".js")).alias("url"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("text").alias("body"))
-    return extract.script_links(docs).distinct()
+    return extract.script_links(docs.unionByName(_pages(s, d).select("url", "headers", "body"))).distinct()
 
 
 @query("header_text", """select distinct response_id, array_to_string(list_transform(list_sort(map_entries(headers)), lambda e: lower(e.key) || ': ' || coalesce(e.value, '')), chr(10)) as head from responses where headers is not null""")
