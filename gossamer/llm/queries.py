@@ -61,6 +61,9 @@ k as (select site, s from w group by 1, 2 having count(distinct result_id) >= 8)
 
 SQL = {
     "p1_found": _LINES + "select distinct result_id, line_no from w semi join k using (site, s)",
+    "p1_pages": _LINES + """, f as (select result_id, list(distinct line_no) as nos from w semi join k using (site, s) group by 1)
+select r.result_id, case when nos is null then text else array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when list_contains(nos, i) then '' else x end), chr(10)) end as text,
+  cast(coalesce(len(nos), 0) as int) as lines_removed from (select result_id, max(text) as text from r group by 1) r left join f using (result_id)""",
     "p3_found": _ENDPOINTS + "select m as result_id, result_id as copy_id from (select result_id, min(result_id) over (partition by path, fields) as m from k) where m < result_id",
     "p3_collapsed": _ENDPOINTS + ", g as (select min(result_id) as result_id, count(*) as copies from k group by path, fields), o as (select result_id, min(request.endpoint) as endpoint from results where result_id is not null group by 1) select o.result_id, o.endpoint, coalesce(g.copies, 1) as copies from o left join g using (result_id) where g.result_id is not null or o.result_id not in (select result_id from k)",
 }
