@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gossamer.functions.markup import visible_text
@@ -49,6 +49,8 @@ PLACES, BAND, BANDS, RADIUS = 108, 3, 36, 72
 SMALL, TREE = 64, 256
 #: Rows of shards that one task takes.
 PART_ROWS = 250_000
+#: Members of a shard whose keys one task counts.
+HEAVY = 1_000_000
 #: Words a task keeps the hashes of.
 KEPT = 500_000
 
@@ -256,9 +258,9 @@ def _block_pairs(radius: int, similarity: float):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are near enough; only the sets that are asked for are moved."""
+    """The pairs (a, b) whose sets are near enough; only the sets that are asked for are moved, and both joins read the same exchange of them."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    need = stage(sets.join(maybe_broadcast(ids), "id", "left_semi").select("id", "grams").dropDuplicates(["id"]), "need")
+    need = sets.join(maybe_broadcast(ids), "id", "left_semi").select("id", "grams").dropDuplicates(["id"])
     ab = pairs.join(need.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(need.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
     return ab.filter(both >= similarity * (F.size("ga") + F.size("gb") - both)).select("a", "b")
@@ -283,18 +285,34 @@ def _between_components(hot: DataFrame, sets: DataFrame, links: DataFrame, tree:
     return full.repartition("pair").sortWithinPartitions("pair", "side", "id").mapInArrow(_block_pairs(radius, similarity), "a bigint, b bigint")
 
 
-def _sizes(rows: DataFrame, name: str) -> DataFrame:
-    """(band, n, low) of the shards with two members or more."""
-    g = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-    return stage(g.filter("low < high").select("band", "n", "low"), name)
+def _frequent(share: float):
+    """Keys that hold that share of a batch: one that holds it of all rows does so in some batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n >= share * b.num_rows], pa.int64())], ["band"])
+
+    return run
 
-def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """(band, id, n, low) of the rows whose shard has two members or more; only ids and keys are moved."""
-    keys = rows.select("band", "id")
-    sizes = _sizes(keys, name + "_sizes")
-    out = stage(keys.join(maybe_broadcast(sizes), "band"), name)
-    release(sizes)
+
+def _shared(rows: DataFrame, texts: int, name: str, heavy: int = HEAVY) -> DataFrame:
+    """(band, id, n, low) of the rows whose shard has two members or more; only ids and keys are moved, and once.
+
+    A shard has at most ``texts`` members.  Those above ``heavy`` are at most rows/heavy many; they are counted with map-side combine, and their rows stay where they are.
+    """
+    keys, shard, figures = rows.select("band", "id"), Window.partitionBy("band"), (F.count(F.lit(1)), F.min("id"), F.max("id"))
+    counted = lambda k: k.select("band", "id", *(f.over(shard).alias(c) for f, c in zip(figures, ("n", "low", "high"))))
+    often = sizes = None
+    if texts > heavy:
+        often = stage(keys.select("band").mapInArrow(_frequent(heavy / keys.count()), "band bigint").distinct(), name + "_often")
+        sizes = keys.join(maybe_broadcast(often), "band", "left_semi").groupBy("band").agg(*(f.alias(c) for f, c in zip(figures, ("n", "low", "high"))))
+        sizes = stage(sizes.filter(F.col("n") > heavy), name + "_heavy")
+        both = counted(keys.join(F.broadcast(sizes), "band", "left_anti")).unionByName(keys.join(F.broadcast(sizes), "band"))
+    else:
+        both = counted(keys)
+    out = stage(both.filter("low < high").select("band", "id", "n", "low"), name)
+    release(often, sizes)
     return out
 
 
@@ -327,18 +345,19 @@ def _prepared(responses: DataFrame, sequence: int, least_words: int) -> tuple[Da
     return reps, member, signed
 
 
-def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: int = SEQUENCE, least_words: int = LEAST_WORDS, radius: int = RADIUS, small: int = SMALL, tree: int = TREE) -> tuple[DataFrame, DataFrame]:
+def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: int = SEQUENCE, least_words: int = LEAST_WORDS, radius: int = RADIUS, small: int = SMALL, tree: int = TREE, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """(verified links between class representatives, membership of each response in its class).
 
     The links of small shards are complete; those of larger shards span their components.
     """
     reps, member, signed = _prepared(responses, sequence, least_words)
-    shared = _shared(signed.select("id", F.explode("bands").alias("band")), "shards")
+    texts = signed.count()
+    shared = _shared(signed.select("id", F.explode("bands").alias("band")), texts, "shards", heavy)
     pairs = _tree_shards(shared, signed, small).mapInArrow(_shards(radius), "a bigint, b bigint")
     hot, finer, still = _hot(shared, small), None, None
     if hot is not None:
         cut = hot.join(signed.select("id", "finer"), "id").select("id", F.explode(F.transform("finer", lambda x, i: F.xxhash64("band", x, i))).alias("band"))
-        finer = _shared(cut, "finer")
+        finer = _shared(cut, texts, "finer", heavy)
         pairs = pairs.unionByName(_to_lowest(hot)).unionByName(_tree_shards(finer, signed, small).mapInArrow(_shards(radius), "a bigint, b bigint"))
         still = _hot(finer, small)
         if still is not None:
@@ -355,7 +374,7 @@ def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: i
 def tree_figures(responses: DataFrame, small: int = SMALL, radius: int = RADIUS) -> DataFrame:
     """(members, visited): members that the shards' trees held at the lookups, and those that were compared."""
     _, _, signed = _prepared(responses, SEQUENCE, LEAST_WORDS)
-    shared = _shared(signed.select("id", F.explode("bands").alias("band")), "shards")
+    shared = _shared(signed.select("id", F.explode("bands").alias("band")), signed.count(), "shards")
     g = _tree_shards(shared, signed, small).mapInArrow(_shards(radius, True), "a bigint, b bigint")
     return g.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("members"), F.coalesce(F.sum("b"), F.lit(0)).alias("visited"))
 
