@@ -281,7 +281,8 @@ def _between_components(hot: DataFrame, sets: DataFrame, links: DataFrame, tree:
     trees = m.filter(F.col("comp") != F.col("main")).select("band", "id", "comp", "sig", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.lit(0).alias("side"))
     asks = m.select("band", "id", "comp", "sig", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"))
     rows = trees.unionByName(asks).select(F.concat_ws("-", "band", "x", "y").alias("pair"), "side", "id", "comp", "sig")
-    full = rows.join(sets.select("id", "grams").dropDuplicates(["id"]), "id").select("pair", "side", "id", "comp", "sig", "grams")
+    need = sets.join(maybe_broadcast(m.select("id").distinct()), "id", "left_semi").select("id", "grams").dropDuplicates(["id"])
+    full = rows.join(need, "id").select("pair", "side", "id", "comp", "sig", "grams")
     return full.repartition("pair").sortWithinPartitions("pair", "side", "id").mapInArrow(_block_pairs(radius, similarity), "a bigint, b bigint")
 
 
