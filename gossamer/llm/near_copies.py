@@ -357,7 +357,7 @@ def near_links(responses: DataFrame, similarity: float = SIMILARITY, sequence: i
     pairs = _tree_shards(shared, signed, small).mapInArrow(_shards(radius), "a bigint, b bigint")
     hot, finer, still = _hot(shared, small), None, None
     if hot is not None:
-        cut = hot.join(signed.select("id", "finer"), "id").select("id", F.explode(F.transform("finer", lambda x, i: F.xxhash64("band", x, i))).alias("band"))
+        cut = stage(hot.join(signed.select("id", "finer"), "id"), "cut").select("id", F.explode(F.transform("finer", lambda x, i: F.xxhash64("band", x, i))).alias("band"))
         finer = _shared(cut, texts, "finer", heavy)
         pairs = pairs.unionByName(_to_lowest(hot)).unionByName(_tree_shards(finer, signed, small).mapInArrow(_shards(radius), "a bigint, b bigint"))
         still = _hot(finer, small)
